@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dossierlake.llm import token_store
+from dossierlake.llm.common import fresh_path
 from dossierlake.llm.exact_dedup import exact_dedup
 from dossierlake.llm.mixing import mix
 from dossierlake.llm.sentencepiece_codec import encode_digests
@@ -25,6 +27,14 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(_vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    path = fresh_path(spark, "token-store")
+    token_store.write_store(_table(spark, sf_dir, "documents"), path, definition, end_id=2)
+    return token_store.read_digests(spark, path)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="max")
 
@@ -35,6 +45,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op5_token_store": op5_token_store,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
 }
