@@ -11,6 +11,7 @@ from dossierlake.llm.common import fresh_path
 from dossierlake.llm.exact_dedup import exact_dedup
 from dossierlake.llm.mixing import mix
 from dossierlake.llm.sentencepiece_codec import encode_digests
+from dossierlake.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(_vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
         definition = f.read()
@@ -45,6 +50,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_toxicity": op2_toxicity,
     "op5_token_store": op5_token_store,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
