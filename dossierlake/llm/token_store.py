@@ -2,9 +2,9 @@
 
 Layout of a store (a folder that Spark writes and reads, so any file system works):
 
-  chunks/    digest (SHA-256 of the ids as little-endian uint32), n_ids, data (zstd of the ids as uint16 or uint32): each content once
-  recipes/   part, seq, doc_id, n_tokens, digests (the chunks in order), root (Merkle root of digests), in ascending doc_id order
-  manifest/  level, part, n_docs, n_tokens, root: one row per recipe part, its root over the documents' roots, and one row for the store
+  content/kind=chunk/  digest (SHA-256 of the ids as little-endian uint32), n_ids, data (zstd of the ids as uint16 or uint32): each content once
+  recipes/             part, seq, doc_id, n_tokens, digests (the chunks in order), root (Merkle root of digests), in ascending doc_id order
+  manifest/            level, part, n_docs, n_tokens, root: one row per recipe part, its root over the documents' roots, and one row for the store
 
 A gear hash over the last 16 ids of a document's stream cuts it where the hash has CUT_BITS zero bits, so equal passages give equal chunks
 wherever they stand. Reading checks each chunk against its digest and each document against its root, and the manifest last.
@@ -71,6 +71,33 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0] if level else hashlib.sha256(b"").digest()
 
 
+class _InRun(Exception):
+    """A part has white space at an end, so a run of it reaches over a blank."""
+
+
+class _Parts(dict):
+    """Part to the ids of a blank and the part, for parts without white space at their ends."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, part: str) -> bytes:
+        if not part or part[0].isspace() or part[-1].isspace():
+            raise _InRun
+        ids = self.encoder._later(part)
+        if len(part) < 64:
+            if len(self) > MEMORY:
+                self.clear()
+            self[part] = ids
+        return ids
+
+    def of_first(self, part: str) -> bytes:
+        if not part or part[0].isspace() or part[-1].isspace():
+            raise _InRun
+        return self.encoder._part(part)
+
+
 class Encoder:
     """Ids of whole texts with the tokenizers library's byte-level BPE. Texts fall apart at single blanks between non-blanks, where the
     pre-tokenizer always splits; parts repeat and are remembered, and new ones go to the library's model word by word."""
@@ -86,50 +113,55 @@ class Encoder:
         self.split = regex.compile(BYTE_LEVEL_SPLIT)
         self.model = self.whole.model
         self.map = {i: c for i, c in enumerate(_byte_letters())}
-        self.parts: dict[str, bytes] = {}
+        self.parts = _Parts(self)
         self.words: dict[str, bytes] = {}
 
-    def _part(self, part: str) -> bytes:
-        out = []
-        for w in self.split.findall(part):
-            ids = self.words.get(w)
-            if ids is None:
-                if len(self.words) > MEMORY:
-                    self.words.clear()
+    def _word(self, w: str) -> bytes:
+        """Ids of one pre-token."""
+        ids = self.words.get(w)
+        if ids is None:
+            if len(self.words) > MEMORY:
+                self.words.clear()
+            if w.isascii() and w[1:].isalpha() and w[0] == " ":
+                spelled = self.map[32] + w[1:]
+            else:
                 spelled = w.encode("utf-8").decode("latin-1").translate(self.map)
-                ids = self.words[w] = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-            out.append(ids)
-        return b"".join(out)
+            ids = self.words[w] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        return b"".join([self._word(w) for w in self.split.findall(part)])
+
+    def _later(self, part: str) -> bytes:
+        """Ids of a blank and the part; letters alone, or with one mark after them, need no pattern."""
+        if part.isalpha():
+            return self._word(" " + part)
+        if part[-1:] in ".,;:!?)" and part[:-1].isalpha():
+            return self._word(" " + part[:-1]) + self._word(part[-1])
+        return self._part(" " + part)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian uint32, without special tokens."""
         if not self.by_part:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        first, *rest = text.split(" ")
+        try:
+            return self.parts.of_first(first) + b"".join(map(self.parts.__getitem__, rest))
+        except _InRun:
+            return self._in_runs(text)
+
+    def _in_runs(self, text: str) -> bytes:
+        """Texts with runs of white space: parts end only at a blank between two characters that are none."""
         if not text:
             return b""
-        first, *rest = text.split(" ") if not RUNS.search(text) else SINGLE.split(text)
-        keys = [first, *[" " + x for x in rest]]
-        known = self.parts
-        try:
-            return b"".join([known[k] for k in keys])
-        except KeyError:
-            if len(known) > MEMORY:
-                known.clear()
-            out = []
-            for k in keys:
-                ids = known.get(k)
-                if ids is None:
-                    ids = self._part(k)
-                    if len(k) < 64:
-                        known[k] = ids
-                out.append(ids)
-            return b"".join(out)
+        first, *rest = SINGLE.split(text)
+        return self._part(first) + b"".join([self.parts.get(x) or self._later(x) for x in rest])
 
 
 # The published split pattern of byte-level BPE.
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: White space at an end or in a run of two; a blank between two characters that are no white space.
-RUNS, SINGLE = re.compile(r"\s\s|\A\s|\s\Z"), re.compile(r"(?<=\S) (?=\S)")
+#: A blank between two characters that are no white space.
+SINGLE = re.compile(r"(?<=\S) (?=\S)")
 
 
 def _byte_letters() -> list[str]:
@@ -195,11 +227,11 @@ def _encoding(definition, end_id: int | None, width: int):
 
 
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by digest: only the first of a run passes."""
+    """Rows come sorted by digest: only the first of a run passes, and all without one."""
     last = None
     for b in batches:
-        own = b.column(0).to_pylist()
-        keep = [x != y for x, y in zip(own, [last, *own[:-1]])]
+        own = b.column("digest").to_pylist()
+        keep = [x is None or x != y for x, y in zip(own, [last, *own[:-1]])]
         last = own[-1] if own else last
         yield b.filter(pa.array(keep, pa.bool_()))
 
@@ -212,20 +244,18 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int | N
     """
     spark = docs.sparkSession
     definition = spark.sparkContext.broadcast(tokenizer_json)
-    staged = f"{path}/staged"
-    id_and_text(docs, id_col, text_col).mapInArrow(_encoding(definition, end_id, width), _ENCODED).withColumn("kind", F.when(F.col("digest").isNull(), "recipe").otherwise("chunk")).write.option("compression", "none").partitionBy("kind").parquet(staged)
+    staged = f"{path}/content"
+    encoded = id_and_text(docs, id_col, text_col).mapInArrow(_encoding(definition, end_id, width), _ENCODED)
+    # Chunks and recipes leave one pass: dealt out by digest (recipes by id and root), sorted, the first of each digest written.
+    dealt = encoded.repartition(F.coalesce("digest", F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), F.lit(b" "), F.col("root")), 256).cast("binary"))).sortWithinPartitions("digest")
+    kind = F.when(F.col("digest").isNull(), "recipe").otherwise("chunk")
+    dealt.mapInArrow(_first_of_each, _ENCODED).withColumn("kind", kind).write.option("compression", "none").partitionBy("kind").parquet(staged)
     both = spark.read.schema(T.StructType([*_ENCODED.fields, T.StructField("kind", T.StringType())])).parquet(staged)
-
-    chunks = both.where("kind = 'chunk'").select("digest", "n_ids", "data")
-    dealt = chunks.repartition("digest").sortWithinPartitions("digest")
-    dealt.mapInArrow(_first_of_each, chunks.schema).write.option("compression", "none").parquet(f"{path}/chunks")
-
     recipes = both.where("kind = 'recipe'").select("doc_id", "n_tokens", "digests", "root")
     ordered = recipes.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("root").asc()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
     ordered.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq"), "*").write.option("compression", "zstd").parquet(f"{path}/recipes")
-
     manifest(spark, path).write.parquet(f"{path}/manifest")
-    _remove(spark, staged)
+    _remove(spark, f"{staged}/kind=recipe")
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -329,7 +359,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     travels instead, and crc32 of a document follows from those of its chunks. Fails if a document's chunks do not give its length and
     Merkle root."""
     recipes = spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
-    chunks = spark.read.schema(_CHUNKS).parquet(f"{path}/chunks").mapInArrow(_checked, "digest binary, n_ids int, crc long")
+    chunks = spark.read.schema(_CHUNKS).parquet(f"{path}/content/kind=chunk").mapInArrow(_checked, "digest binary, n_ids int, crc long")
     steps = _steps(recipes).join(chunks, "digest", "left")
     sums = steps.groupBy("seq").agg(F.first("n_tokens").alias("n"), F.first("root").alias("said"), F.array_sort(F.collect_list(F.struct("at", "n_ids", "crc", "digest"))).alias("steps")).withColumn("got", F.pandas_udf(_joined, "struct<n_ids:long,crc:long,root:binary>")("steps"))
     good = (F.col("got.n_ids") == F.col("n")) & (F.col("got.root") == F.col("said"))
@@ -345,7 +375,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, ids array<int>: the documents themselves, put together from their chunks."""
     recipes = spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
-    chunks = spark.read.schema(_CHUNKS).parquet(f"{path}/chunks")
+    chunks = spark.read.schema(_CHUNKS).parquet(f"{path}/content/kind=chunk")
 
     @F.pandas_udf("array<int>")
     def whole(steps: pd.Series) -> pd.Series:
