@@ -10,6 +10,7 @@ from dossierlake.llm import token_store
 from dossierlake.llm.bagminhash import near_dedup
 from dossierlake.llm.common import fresh_path
 from dossierlake.llm.exact_dedup import exact_dedup
+from dossierlake.llm.license_scan import licence_scan
 from dossierlake.llm.mixing import mix
 from dossierlake.llm.sentencepiece_codec import encode_digests
 from dossierlake.llm.toxicity import toxicity
@@ -45,6 +46,10 @@ def op6_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="max")
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op5_token_store": op5_token_store,
     "op6_bagminhash": op6_bagminhash,
+    "op7_license_scan": op7_license_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
 }
