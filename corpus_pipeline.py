@@ -1,19 +1,36 @@
-"""The corpus pipeline: stages that each keep what the next one reads. Every stage takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""The corpus pipeline: stages that each keep what the next one reads. Every stage takes (spark, docs, sf_dir) and returns a DataFrame;
+all but the last return the columns of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossierlake.llm import exact_dedup as exact
-from dossierlake.llm import mixing
+from dossierlake.llm import bagminhash, exact_dedup, mixing, sentencepiece_codec, toxicity
 from dossierlake.llm.common import written
+from dossierlake.llm.queries import vocabulary
+
+
+def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids (one column, doc_id; null meets null)."""
+    keep = ids.select(F.col("doc_id").alias("_keep")).distinct()
+    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity score rejects go. The labels of `labels` train it, as in the operator's own query."""
+    scored = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _kept(docs, scored.where("predicted = 0").select("doc_id"))
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts: the one with the largest doc_id."""
-    keep = exact.exact_dedup(docs, keep="max").where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    """One row of each group of equal texts stays: the one with the largest doc_id."""
+    return _kept(docs, exact_dedup.exact_dedup(docs, keep="max").where("kept").select("doc_id"))
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays: the one with the smallest doc_id."""
+    return _kept(docs, bagminhash.near_dedup(docs).where("kept").select("doc_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +38,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("exact_dedup", drop_exact), ("mixing", mix_sources)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and digests of every row that the mix holds."""
+    return sentencepiece_codec.encode_digests(docs, vocabulary("piece_bpe_32k.model"))
+
+
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact), ("near_dedup", drop_near), ("mixing", mix_sources), ("sentencepiece", encode)]
 
-#: Noisy-channel decoding and signatures cannot be said in SQL.
+#: Noisy-channel decoding and weighted signatures cannot be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -20,14 +20,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_digests(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    return encode_digests(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with open(_vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
+    with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
         definition = f.read()
     path = fresh_path(spark, "token-store")
     token_store.write_store(_table(spark, sf_dir, "documents"), path, definition, end_id=2)
