@@ -11,6 +11,7 @@ from dossierlake.llm.bagminhash import near_dedup
 from dossierlake.llm.common import fresh_path
 from dossierlake.llm.exact_dedup import exact_dedup
 from dossierlake.llm.license_scan import licence_scan
+from dossierlake.llm.lm_score import lm_score
 from dossierlake.llm.mixing import mix
 from dossierlake.llm.sentencepiece_codec import encode_digests
 from dossierlake.llm.toxicity import toxicity
@@ -34,11 +35,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def _definition(name: str) -> str:
+    with open(vocabulary(name), encoding="utf-8") as f:
+        return f.read()
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
-        definition = f.read()
     path = fresh_path(spark, "token-store")
-    token_store.write_store(_table(spark, sf_dir, "documents"), path, definition, end_id=2)
+    token_store.write_store(_table(spark, sf_dir, "documents"), path, _definition("byte_bpe_50k.json"), end_id=2)
     return token_store.read_digests(spark, path)
 
 
@@ -50,6 +54,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan(_table(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(_table(spark, sf_dir, "documents"), _definition("byte_bpe_50k.json"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="max")
 
@@ -64,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_store": op5_token_store,
     "op6_bagminhash": op6_bagminhash,
     "op7_license_scan": op7_license_scan,
+    "op8_lm_score": op8_lm_score,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
 }
