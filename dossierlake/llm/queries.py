@@ -10,6 +10,7 @@ from dossierlake.llm import token_store
 from dossierlake.llm.bagminhash import near_dedup
 from dossierlake.llm.common import fresh_path
 from dossierlake.llm.exact_dedup import exact_dedup
+from dossierlake.llm.html_extract import extract
 from dossierlake.llm.license_scan import licence_scan
 from dossierlake.llm.lm_score import lm_score
 from dossierlake.llm.mixing import mix
@@ -35,6 +36,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def _definition(name: str) -> str:
     with open(vocabulary(name), encoding="utf-8") as f:
         return f.read()
@@ -69,6 +74,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_toxicity": op2_toxicity,
+    "op3_html_extract": op3_html_extract,
     "op5_token_store": op5_token_store,
     "op6_bagminhash": op6_bagminhash,
     "op7_license_scan": op7_license_scan,
