@@ -147,11 +147,17 @@ def features(x: Node) -> tuple[str, ...]:
 _OWN = frozenset("p div section ul ol li a table tr td article main blockquote header footer nav aside form br body".split())
 
 
+#: Elements of which a text has many, as features.
+_SMALL = frozenset(f"tag={t}" for t in "p h1 h2 h3 h4 h5 h6 li dd dt td th tr a b strong i em span br pre blockquote".split())
+
+
 def kind(x: Node) -> str:
     """Kind of child for the parent-child potentials."""
     tag = x.tag
     if tag == "#text":
-        return "text" if x.text.strip() else "space"
+        return "text" if x.words else "empty"
+    if not x.words:
+        return "empty"
     return tag if tag in _OWN else "heading" if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit() else "block" if tag in BLOCK else "inline"
 
 
@@ -167,7 +173,7 @@ class TreeModel:
         if out is None:
             if len(self._known) > 50_000:
                 self._known.clear()
-            out = self._known[found] = self.scale["leaf" if found[0] == "leaf" else "element"] * (self.bias + sum(self.weights.get(f, 0.0) for f in found))
+            out = self._known[found] = self.scale["leaf" if found[0] == "leaf" else "small" if found[0] in _SMALL else "holder"] * (self.bias + sum(self.weights.get(f, 0.0) for f in found))
         return out
 
     def marginals(self, nodes: list[Node]) -> list[float]:
@@ -175,7 +181,7 @@ class TreeModel:
         sum-product rule."""
         at = {id(x): i for i, x in enumerate(nodes)}
         n = len(nodes)
-        belief = [self.lean(features(x)) for x in nodes]  # log odds from the node and the messages of its children
+        belief = [0.0, *[self.lean(features(x)) for x in nodes[1:]]]  # log odds from the node and the messages of its children
         up = [0.0] * n
         for i in range(n - 1, 0, -1):
             x = nodes[i]
@@ -260,18 +266,20 @@ def labelled_page(rng: random.Random) -> list[Node]:
         elif which == "side":
             inner = rng.choice([f"<h3>{words(1, 3)}</h3>" + links(3, 8), f"<h4>{words(1, 3)}</h4><p>{prose(1, 4)}</p>", "".join(f"<p>{prose(1, 2)}</p>" for _ in range(rng.randint(1, 4))), prose(1, 5)])
         elif which == "reader":
-            each = [f'<{"li" if tag == "ol" else "div"} {name("reader") if rng.random() < 0.6 else ""}><b>{words(1, 2)}</b><p>{prose(1, 5)}</p></{"li" if tag == "ol" else "div"}>' for _ in range(rng.randint(1, 5))]
+            each = [f'<{"li" if tag == "ol" else "div"} {name("reader") if rng.random() < 0.6 else ""}><{(u := rng.choice(["b", "span", "strong", "cite", "a", "div", "h4", "small"]))}>{words(1, 2)}</{u}><p>{prose(1, 5)}</p></{"li" if tag == "ol" else "div"}>' for _ in range(rng.randint(1, 5))]
             inner = ("" if tag == "ol" else f"<h3>{words(1, 3)}</h3>") * rng.randint(0, 1) + "".join(each)
         elif which == "form":
             inner = f'<label>{words(1, 3)}</label><input name="q"><button>{words(1, 2)}</button>' + rng.choice(["", f"<p>{prose(1, 2)}</p>"])
         elif which == "share":
             inner = rng.choice([links(2, 5), f"<span>{words(1, 3)}</span> <time>{rng.randint(1, 28)} 2020</time>"])
         else:
-            inner = rng.choice([prose(1, 4), f"<p>{prose(1, 3)}</p>", f'<a href="/{word()}">{words(2, 6)}</a>', f"<span>{prose(1, 2)}</span>", f'<p>{sentence()} <a href="#">{words(1, 2)}</a></p>'])
+            inner = rng.choice([prose(1, 4), f"<p>{prose(1, 3)}</p>", f'<a href="/{word()}">{words(2, 6)}</a>', f"<span>{prose(1, 2)}</span>", f"<b>{prose(1, 2)}</b>", f'<p>{sentence()} <a href="#">{words(1, 2)}</a></p>'])
         return f'<{tag} {own} role="{_OFF}">{inner}</{tag}>'
 
+    terse = rng.random() < 0.15
+
     def paragraph() -> str:
-        p = prose(1, 7)
+        p = sentence(1, 4) if terse else prose(1, 7) if rng.random() < 0.8 else sentence(2, 12)
         if rng.random() < 0.25:
             p = f'{p} <a href="/{word()}">{words(1, 4)}</a> {prose(1, 2)}'
         if rng.random() < 0.4:
@@ -279,7 +287,7 @@ def labelled_page(rng: random.Random) -> list[Node]:
         return f"<p>{p}" + ("</p>" if rng.random() < 0.8 else "")
 
     body = [rng.choice([f"<h1>{words(2, 9)}</h1>", f"<h1>{sentence()}</h1>", f"<h2>{words(2, 9)}</h2>", ""])]
-    for _ in range(rng.choice([1, 1, 1, 2, 3, 5, 9])):
+    for _ in range(rng.choice([8, 15, 30]) if terse else rng.choice([1, 1, 1, 2, 3, 5, 9])):
         body.append(rng.choice([paragraph()] * 8 + [f"<h2>{words(2, 7)}</h2>", f"<h3>{words(1, 6)}</h3>", "<ul>" + "".join(f"<li>{sentence(2, 12)}</li>" for _ in range(3)) + "</ul>", f"<blockquote>{prose(1, 3)}</blockquote>", f"<pre>{words(3, 20)}</pre>", "<table><tr>" + "".join(f"<td>{words(1, 4)}</td>" for _ in range(3)) + "</tr></table>", f"<div>{prose(1, 5)}</div>", f"<figure><figcaption>{sentence()}</figcaption></figure>"]))
         if rng.random() < 0.12:
             body.append(part(rng.choice(["advert", "side", "share", "notice", "form"])))
@@ -337,13 +345,12 @@ def train(pages: int = 1000, seed: int = 1, steps: int = 300) -> TreeModel:
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
         b -= 0.5 * (p - y).mean()
     pair = {}
-    for k in sorted(_OWN | {"text", "space", "heading", "block", "inline"}):
-        total, pair[k] = alone[k, 0] + alone[k, 1] + 2, []
-        for up in (0, 1):
-            n = edges[k, up, 0] + edges[k, up, 1] + 2
-            pair[k].append([math.log((edges[k, up, down] + 1) / n) - math.log((alone[k, down] + 1) / total) for down in (0, 1)])
+    for k in sorted(_OWN | {"text", "heading", "block", "inline"}):
+        usual = [(alone[k, down] + 1) / (alone[k, 0] + alone[k, 1] + 2) for down in (0, 1)]
+        pair[k] = [[math.log((edges[k, up, down] + 4 * usual[down]) / (edges[k, up, 0] + edges[k, up, 1] + 4) / usual[down]) for down in (0, 1)] for up in (0, 1)]
+    pair["empty"] = [[0.0, 0.0], [0.0, 0.0]]  # nothing to keep or drop
     weights = {f: float(w[i]) for f, i in names.items()}
-    # Neighbouring nodes tell much the same, so their potentials are damped by the two factors that judge other made pages best.
+    # Neighbouring nodes tell much the same, so their potentials are damped by the factors that judge other made pages best.
     trial = [labelled_page(rng) for _ in range(max(1, pages // 5))]
     for nodes in trial:
         measure(nodes)
@@ -354,7 +361,7 @@ def train(pages: int = 1000, seed: int = 1, steps: int = 300) -> TreeModel:
             out += sum((p >= 0.5) == bool(x.label) for x, p in zip(nodes, model.marginals(nodes)) if x.tag == "#text" and not x.text.isspace())
         return out
 
-    grid = [{"leaf": x, "element": y} for x in (0.1, 0.25, 0.5, 1.0) for y in (0.5, 1.0, 2.0, 3.0)]
+    grid = [{"leaf": x, "small": y, "holder": z} for x in (0.1, 0.4) for y in (0.3, 0.6, 1.0) for z in (2.0, 3.0, 4.0)]
     return TreeModel(weights, float(b), pair, max(grid, key=right))
 
 
