@@ -361,7 +361,7 @@ def train(pages: int = 1000, seed: int = 1, steps: int = 300) -> TreeModel:
             out += sum((p >= 0.5) == bool(x.label) for x, p in zip(nodes, model.marginals(nodes)) if x.tag == "#text" and not x.text.isspace())
         return out
 
-    grid = [{"leaf": x, "small": y, "holder": z} for x in (0.1, 0.4) for y in (0.3, 0.6, 1.0) for z in (2.0, 3.0, 4.0)]
+    grid = [{"leaf": x, "small": y, "holder": z} for x in (0.1, 0.4) for y in (0.2, 0.35, 0.5) for z in (2.0, 3.0)]
     return TreeModel(weights, float(b), pair, max(grid, key=right))
 
 
