@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dossierlake.llm import token_store
+from dossierlake.llm.ann import nearest
 from dossierlake.llm.bagminhash import near_dedup
 from dossierlake.llm.common import fresh_path
 from dossierlake.llm.exact_dedup import exact_dedup
@@ -40,6 +41,10 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def _definition(name: str) -> str:
     with open(vocabulary(name), encoding="utf-8") as f:
         return f.read()
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_toxicity": op2_toxicity,
     "op3_html_extract": op3_html_extract,
+    "op4_nn_descent": op4_nn_descent,
     "op5_token_store": op5_token_store,
     "op6_bagminhash": op6_bagminhash,
     "op7_license_scan": op7_license_scan,
