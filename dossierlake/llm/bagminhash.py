@@ -7,7 +7,8 @@ stop as soon as their time passes the document's latest component, so the work i
 
 Candidates share a band of ROWS components. Equal texts are one node. In each bucket all nodes are compared with one pivot, links join
 into components, and buckets that still hold several components take further pivots. What is left then is joined exactly by prefix
-filtering: of two sets with similarity s, sorted rarest element first, the first (1-s)n+1 elements share one. No bucket emits all pairs.
+filtering: of two sets with similarity s, sorted rarest element first, the first (1-s)n+1 elements share one, at places that leave room
+for the overlap. No bucket emits all pairs.
 """
 
 from __future__ import annotations
@@ -208,10 +209,13 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> Dat
     each = own.select("node", F.explode("elements").alias("e"))
     often = each.groupBy("e").agg(F.count("*").alias("df"))
     ranked = each.join(often, "e").withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy("df", "e")))
-    prefix = written(ranked.join(own.select("node", "label", "rest", "n"), "node").where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).select("e", "node", "label", "rest", "n"), "prefixes")
-    x, y = (prefix.select("e", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "rest", "n")]) for s in "xy")
+    prefix = written(ranked.join(own.select("node", "label", "rest", "n"), "node").where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).select("e", "node", "label", "rest", "n", "k"), "prefixes")
+    x, y = (prefix.select("e", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "rest", "n", "k")]) for s in "xy")
     met = x.join(y, "e").where((F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & (F.col("rest_x") | F.col("rest_y")))
     met = met.where((F.col("n_x") >= F.col("n_y") * similarity - 1e-9) & (F.col("n_y") >= F.col("n_x") * similarity - 1e-9))
+    # At the first element that two sets share, what follows it must still be enough for the overlap that the similarity asks for.
+    enough = (F.col("n_x") + F.col("n_y")) * (similarity / (1 + similarity)) - 1e-9
+    met = met.where(F.least(F.col("n_x") - F.col("k_x"), F.col("n_y") - F.col("k_y")) + 1 >= enough)
     return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
 
 
@@ -219,7 +223,8 @@ def near_links(nodes: DataFrame, similarity: float = SIMILARITY, m: int = COMPON
     """node, label of all nodes with a link; nodes: (node binary, text binary), a node's texts all equal. None if no bucket holds two."""
     spark = nodes.sparkSession
     signed = nodes.mapInArrow(_banding(m, bands, size), "node binary, bands array<long>")
-    each = signed.select("node", F.explode("bands").alias("bucket")).distinct()
+    signed = written(signed.groupBy("node").agg(F.first("bands").alias("bands")), "bands")  # signatures are made once
+    each = signed.select("node", F.explode("bands").alias("bucket"))
     shared = each.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
     members = written(each.join(shared, "bucket", "left_semi"), "members")
     if members.isEmpty():
