@@ -56,6 +56,7 @@ ORDINARY = [
     "El texto de la casa es para todos los que pueden usar el programa.", "Der Text steht in der Form, in der er von der Stiftung kam.", "Le texte est sous la forme que vous pouvez lire dans le document.", "This is a free charge of the person in the domain.",
     "The reserved table by the window was met with attribution to the corporation.", "He passed the driving test under the common law and can modify or use binary forms.", "Identifier 4.0 is example 2021 of the or later clause, provided the software and files are permitted.",
     "It was not as if he had gone into that deal, so what can it do for us, and why not?", "See http and www on the page that came in as it was, not into it.", "He asked for the documentation of the modification, as that was not in it.",
+    "Er kam mit dem Rad und ging mit ihr in die Stadt.",
     "The commons of the village are open to all by right.", "Her creative work is granted hereby in compliance with the code except source.",
 ]
 # Fixed value: the form of a word.
