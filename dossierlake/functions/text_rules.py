@@ -193,8 +193,6 @@ HIGH_RISK = [
 def indicators(texts: DataFrame, path_col: str, text_col: str, rules: list[Rule]) -> DataFrame:
     """path, rule_order, key, count, details: a row for each rule that holds in a text. A null text has none."""
     t = F.col(text_col)
-    structs = []
-    for k, r in enumerate(rules):
-        found = F.struct(F.lit(k).alias("rule_order"), F.lit(r.key).alias("key"), r.count(t).alias("count"), (r.details(t) if r.details else F.lit(None).cast("string")).alias("details"))
-        structs.append(F.when(F.coalesce(r.count(t), F.lit(0)) > 0, found))
-    return texts.select(F.col(path_col).alias("path"), F.explode(F.array_compact(F.array(*structs))).alias("x")).select("path", "x.*")
+    each = [F.struct(F.lit(k).alias("rule_order"), F.lit(r.key).alias("key"), r.count(t).cast("long").alias("count"), (r.details(t) if r.details else F.lit(None).cast("string")).alias("details")) for k, r in enumerate(rules)]
+    held = F.filter(F.array(*each), lambda x: x["count"] > 0)
+    return texts.select(F.col(path_col).alias("path"), F.explode(held).alias("x")).select("path", "x.*")
