@@ -100,14 +100,17 @@ class _Parts(dict):
 
 class Encoder:
     """Ids of whole texts with the tokenizers library's byte-level BPE. Texts fall apart at single blanks between non-blanks, where the
-    pre-tokenizer always splits; parts repeat and are remembered, and new ones go to the library's model word by word."""
+    pre-tokenizer always splits; parts repeat and are remembered, and new ones go to the library's model word by word. With special, the
+    definition's special tokens count where a text spells them, as the library has it by default; else they are encoded as other text.
+    Texts that hold an added token go to the library whole."""
 
-    def __init__(self, definition: str) -> None:
+    def __init__(self, definition: str, special: bool = False) -> None:
         import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(definition)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = not special
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values() if special or not t.special]
         pre = type(self.whole.pre_tokenizer).__name__
         self.by_part = pre == "ByteLevel" and self.whole.normalizer is None and not self.whole.pre_tokenizer.add_prefix_space
         self.split = regex.compile(BYTE_LEVEL_SPLIT)
@@ -142,7 +145,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian uint32, without special tokens."""
-        if not self.by_part:
+        if not self.by_part or any(t in text for t in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         first, *rest = text.split(" ")
         try:
@@ -191,7 +194,7 @@ def _encoding(definition, end_id: int | None, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hashlib.sha256(definition.value.encode()).hexdigest()
         if key not in _encoders:
-            _encoders[key] = Encoder(definition.value)
+            _encoders[key] = Encoder(definition.value, special=True)
         encoder, press, seen = _encoders[key], zstandard.ZstdCompressor(level=1), set()
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         for b in batches:
@@ -237,7 +240,7 @@ def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int | None = 2, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encodes every whole text, appends end_id, writes the store.
+    """Encodes every whole text, appends end_id, writes the store. A special token that a text spells gets its own id.
 
     A null text counts as empty (its ids are the end id alone; without an end id its recipe is empty). Null doc_ids come first in the order;
     rows that repeat an id follow each other, by root. An empty table gives a store without documents. Other columns are ignored.

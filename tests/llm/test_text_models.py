@@ -210,3 +210,17 @@ def test_words_are_told_by_all_counts():
         assert list(kinds) == [classes[i] for i in w]
         assert np.allclose(np.frombuffer(shares, "<f4"), want, rtol=1e-5)
         assert abs(total - logs) < 1e-9
+
+
+def test_store_finds_special_tokens(spark, docs_of, tmp_path):
+    from tokenizers import Tokenizer
+
+    with open(tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    library = Tokenizer.from_str(definition)
+    texts = list(enumerate(["a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|>b  <|endoftext|><|endoftext|> 's", "<|endoftext |> plain", " <|endoftext|>\n"]))
+    path = f"{tmp_path}/store"
+    token_store.write_store(docs_of(texts), path, definition)
+    got = {r["doc_id"]: list(r["ids"]) for r in token_store.read_ids(spark, path).collect()}
+    assert got == {i: [*library.encode(t, add_special_tokens=False).ids, 2] for i, t in texts}
+    assert 50256 in got[0]
