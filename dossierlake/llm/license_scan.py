@@ -1,10 +1,12 @@
 """Licence notices by a trained paragraph classifier, in DataFrame functions only.
 
-A paragraph is a line. Its features are word 1-grams and 2-grams that hold an anchor word (a word of the licence templates that no
-ordinary training sentence has), so lines without an anchor have no features and are unknown by the bias alone; they are left out before
-any n-gram is built. A multinomial logistic regression with an elastic net gives the family; a temperature, fitted on variants that the
-regression did not see, calibrates it, with `unknown` as one of the classes. A family is confirmed if the line covers enough of one of
-its templates.
+A paragraph is a line or a run of lines: notices stand on lines of their own or are wrapped over several, so a line that is not confirmed
+alone is judged again with the lines after it, up to a blank one or the words of the longest template. Its features are word 1-grams and
+2-grams that hold an anchor (a word of the licence templates that no ordinary training sentence has, or two long words that follow each
+other in a template and in no ordinary sentence), so lines without an anchor have no features and are unknown by the bias alone; they are
+left out before any n-gram is built. A multinomial logistic regression with an elastic net gives the family; a temperature, fitted on
+variants that the regression did not see, calibrates it, with `unknown` as one of the classes. A family is confirmed if the line or run
+covers enough of one of its templates.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from dossierlake.llm.common import id_and_text
 UNKNOWN = "unknown"
 #: Share of a template's distinct words that a line must have to confirm it; least calibrated probability of a family.
 COVER, LEAST = 0.7, 0.5
+#: Words of a run for a word of a template, and words of another kind that may come before the notice in its first line.
+WIDER, LEAD = 1.5, 8
 
 # Public notices by family.
 TEMPLATES: dict[str, list[str]] = {
@@ -44,9 +48,9 @@ TEMPLATES: dict[str, list[str]] = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0", "Licensed under the Mozilla Public License 2.0."],
-    "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY-SA 4.0."],
-    "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC-SA 4.0."],
-    "Public-Domain": ["This is free and unencumbered software released into the public domain.", "Dedicated to the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"],
+    "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY-SA 4.0.", "Creative Commons Attribution 4.0 International"],
+    "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC-SA 4.0.", "Creative Commons Attribution-NonCommercial 4.0 International"],
+    "Public-Domain": ["This is free and unencumbered software released into the public domain.", "Dedicated to the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0", "This work is in the public domain."],
     "Proprietary": ["All rights reserved.", "Copyright 2021 Example Corporation. All rights reserved.", "This software is proprietary and confidential."],
 }
 # Sentences that name no licence of a text.
@@ -93,6 +97,10 @@ class LicenceModel:
         ordinary = {r["w"] for r in examples.where(F.col("family") == UNKNOWN).select(F.explode("words").alias("w")).distinct().collect()}
         licence = {r["w"] for r in examples.where(F.col("family") != UNKNOWN).select(F.explode("words").alias("w")).distinct().collect()}
         self.anchors = sorted(w for w in licence - ordinary if len(w) > 1 and not w.replace(".", "").isdigit() and w not in ("see", "note", "details", "authors", "www"))
+        told = [(_plain_words(t), f) for f, ts in [*TEMPLATES.items(), (UNKNOWN, ORDINARY)] for t in ts]
+        pairs = lambda unknown: {f"{a} {b}" for ws, f in told if (f == UNKNOWN) == unknown for a, b in zip(ws, ws[1:]) if min(len(a), len(b)) > 3}
+        self.phrases = sorted(p for p in pairs(False) - pairs(True) if not set(p.split()) & set(self.anchors))
+        self.longest = math.ceil(max(len(ws) for ws, f in told if f != UNKNOWN) * WIDER) + LEAD
         marked = examples.withColumn("grams", self._anchored(F.col("words")))
         vectors = CountVectorizer(inputCol="grams", outputCol="x", binary=True).fit(marked)
         self.families = [*sorted(TEMPLATES), UNKNOWN]
@@ -106,7 +114,7 @@ class LicenceModel:
 
     def _anchored(self, words: Column) -> Column:
         anchors = F.array(*[F.lit(a) for a in self.anchors])
-        return F.array_distinct(F.filter(_grams(words), lambda g: F.arrays_overlap(F.split(g, " "), anchors)))
+        return F.array_distinct(F.filter(_grams(words), lambda g: F.arrays_overlap(F.split(g, " "), anchors) | g.isin(self.phrases)))
 
     def logits(self, grams: list[str]) -> list[float]:
         return [b + sum(self.weights[g][k] for g in grams if g in self.weights) for k, b in enumerate(self.bias)]
@@ -125,7 +133,11 @@ class LicenceModel:
         return min((0.25 * 1.15**i for i in range(30)), key=loss)
 
     def trigger(self) -> str:
-        return r"(?i)(?<![a-z0-9])(?:" + "|".join(a.replace(".", r"\.").replace("+", r"\+") for a in self.anchors) + r")(?![a-z0-9])"
+        """Matches where an anchor stands; alternatives share their first letter, as flat ones are slow."""
+        by: dict[str, list[str]] = {}
+        for a in [*self.anchors, *self.phrases]:
+            by.setdefault(a[0], []).append(a[1:].replace(".", r"\.").replace("+", r"\+").replace(" ", "[^a-z0-9]+"))
+        return r"(?i)(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by.items())) + r")(?![a-z0-9])"
 
     def with_guess(self, lines: DataFrame) -> DataFrame:
         """Adds guess (family) and probability (calibrated). Each step is a column of its own, so that lambdas name it and nothing is
@@ -138,11 +150,13 @@ class LicenceModel:
         out = out.withColumn("at", F.array_position("z", F.col("top")).cast("int"))
         return out.withColumn("guess", F.element_at(F.array(*[F.lit(f) for f in self.families]), F.col("at"))).withColumn("probability", 1 / F.col("total")).drop("z", "top", "total", "at")
 
-    def covered(self, words: Column, family: Column) -> Column:
-        """The largest share of a template of the family that the line's words cover."""
+    def covered(self, words: Column, family: Column, run: Column) -> Column:
+        """The largest share of a template of the family that the words of a line cover, or of a run the first ones: as many as the
+        template may take with other words between."""
         out = F.lit(0.0)
         for f, ts in self.templates.items():
-            shares = [F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in t]))) / len(t) for t in ts]
+            near = lambda t: F.slice(words, F.lit(1), F.when(run == 1, math.ceil(len(t) * WIDER) + LEAD).otherwise(F.size(words)))
+            shares = [F.size(F.array_intersect(near(t), F.array(*[F.lit(w) for w in t]))) / len(t) for t in ts]
             out = F.when(family == f, F.greatest(*shares, F.lit(0.0))).otherwise(out)
         return out
 
@@ -165,15 +179,28 @@ def licence_model(spark: SparkSession) -> LicenceModel:
 
 
 def licence_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, cover: float = COVER) -> DataFrame:
-    """A row per line with an anchor word: doc_id, line_no (from 0), line, family (or unknown), probability, covered, confirmed."""
+    """A row per line with an anchor in it or reaching from it into the next line: doc_id, line_no (from 0), line, family (or unknown),
+    probability, covered, confirmed. A run that confirms what its first line alone does not counts at that line."""
     model = licence_model(docs.sparkSession)
-    base = id_and_text(docs, id_col, text_col).where(F.col("text").rlike(model.trigger()))
-    lines = base.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(model.trigger()))
-    scored = lines.withColumn("words", _words(F.col("line"))).withColumn("grams", model._anchored(F.col("words")))
-    named = model.with_guess(scored)
-    named = named.withColumn("covered", model.covered(F.array_distinct("words"), F.col("guess")))
+    has = lambda c: c.rlike(model.trigger())
+    base = id_and_text(docs, id_col, text_col).where(has(F.col("text"))).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.split("text", "\n").alias("lines"))
+    line = lambda i: F.coalesce(F.try_element_at("lines", i.cast("int")), F.lit(""))
+    base = base.withColumn("at", F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: has(F.concat_ws(" ", line(i), F.substring(line(i + 1), 1, 80)))))
+    # A run takes a word a line at least, so no more lines than words.
+    rows = base.select("row", "doc_id", F.explode(F.transform("at", lambda i: F.struct((i - 1).alias("line_no"), line(i).alias("line"), F.slice("lines", i, F.lit(model.longest)).alias("run")))).alias("x")).select("row", "doc_id", "x.*")
+    rows = rows.withColumn("stop", F.array_position(F.transform("run", lambda x: F.trim(x).isin("", "\r")), True))
+    rows = rows.withColumn("run", F.when(F.col("stop") > 0, F.slice("run", F.lit(1), F.greatest(F.col("stop").cast("int") - 1, F.lit(0)))).otherwise(F.col("run")))
+
+    whole = _words(F.array_join(F.transform("run", lambda x: F.substring(x, 1, 2000)), " "))
+    units = F.array(F.struct(F.lit(0).alias("of_run"), _words(F.col("line")).alias("words")), F.struct(F.lit(1).alias("of_run"), F.when(F.size("run") > 1, F.slice(whole, 1, model.longest)).alias("words")))
+    rows = rows.select("row", "doc_id", "line_no", "line", F.explode(units).alias("u")).select("row", "doc_id", "line_no", "line", "u.*").where("words is not null")
+    named = model.with_guess(rows.withColumn("grams", model._anchored(F.col("words"))))
+    named = named.withColumn("covered", model.covered(F.col("words"), F.col("guess"), F.col("of_run")))
     sure = (F.col("guess") != UNKNOWN) & (F.col("probability") >= least)
-    return named.select("doc_id", "line_no", "line", F.when(sure, F.col("guess")).otherwise(F.lit(UNKNOWN)).alias("family"), "probability", "covered", (sure & (F.col("covered") >= cover)).alias("confirmed"))
+    named = named.select("row", "doc_id", "line_no", "line", "of_run", F.struct(F.when(sure, F.col("guess")).otherwise(F.lit(UNKNOWN)).alias("family"), "probability", "covered", (sure & (F.col("covered") >= cover)).alias("confirmed")).alias("found"))
+    # A line alone counts unless only its run is confirmed.
+    best = named.groupBy("row", "line_no").agg(F.first("doc_id").alias("doc_id"), F.first("line").alias("line"), F.max_by("found", F.struct("found.confirmed", -F.col("of_run"))).alias("found"))
+    return best.select("doc_id", "line_no", "line", "found.*")
 
 
 def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

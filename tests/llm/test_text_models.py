@@ -224,3 +224,13 @@ def test_store_finds_special_tokens(spark, docs_of, tmp_path):
     got = {r["doc_id"]: list(r["ids"]) for r in token_store.read_ids(spark, path).collect()}
     assert got == {i: [*library.encode(t, add_special_tokens=False).ids, 2] for i, t in texts}
     assert 50256 in got[0]
+
+
+def test_wrapped_licences(spark, docs_of, prose):
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights'
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License"
+    texts = [(1, prose(30, 1) + "\n" + mit + "\n" + prose(30, 2)), (2, bsd), (3, gpl.replace("\n", "\r\n")), (4, "available under Creative Commons Attribution 4.0 International"), (5, "This work is in the public domain."),
+             (6, "Permission is hereby granted\n\nto the software without restriction"), (7, "Released under\nthe MIT\nLicense."), (8, "We use creative words in public.\nThe domain is open.")]
+    got = {r["doc_id"]: r["families"] for r in license_scan.licence_scan(docs_of(texts)).collect()}
+    assert got == {1: "MIT", 2: "BSD", 3: "GPL-3.0", 4: "CC-BY", 5: "Public-Domain", 6: None, 7: "MIT", 8: None}
