@@ -9,9 +9,9 @@ weights at or above zero, fitted to a bounded sample of labelled rows, picks the
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -195,7 +195,7 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extract(shared):
-    """Labelled texts to (doc_id, y, features), each feature once a text, and a sketch that near copies share."""
+    """Labelled texts to (doc_id, y, features), each feature once a text, and a digest of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(CharacterModel(shared.value))
@@ -203,9 +203,8 @@ def _extract(shared):
             rows = []
             for text in b.column(2).to_pylist():
                 words = {w for t in set(tokens_of(text)) for w in restorer.words_of(t)} | set(restorer.spelled(text.lower()))
-                low = sorted(zlib.crc32(w.encode()) for w in words)[:2]
-                rows.append((sorted({f for w in words for f in features(w)}), (low[0] if low else 0) << 32 | (low[1] if len(low) > 1 else 0)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in rows], pa.list_(pa.string())), pa.array([np.int64(np.uint64(y).astype(np.int64)) for _, y in rows], pa.int64())], ["doc_id", "y", "features", "sketch"])
+                rows.append((sorted({f for w in words for f in features(w)}), hashlib.sha256(text.encode()).digest()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in rows], pa.list_(pa.string())), pa.array([y for _, y in rows], pa.binary())], ["doc_id", "y", "features", "digest"])
 
     return run
 
@@ -248,15 +247,16 @@ def fit_l1(rows: list[tuple[int, list[int]]], names: list[str], penalty: float =
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[dict[int, int], Classifier]:
     """The character counts of all texts outside the held-out third, and the classifier of at most `sample` labelled ones of them (lowest
-    hashes of doc_id; near copies, told by a sketch, count once)."""
+    hashes of doc_id; exact copies with the same label count once)."""
     spark = docs.sparkSession
     base = id_and_text(docs, id_col, text_col).where(~held_out(F.col("doc_id"), 3, 1))
     counts = {r["key"]: r["n"] for r in base.select("text").mapInArrow(_trigrams, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()}  # 28^3 rows at most
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     marked = marked.where(~held_out(F.col("doc_id"), 3, 1)).groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     shared = spark.sparkContext.broadcast(counts)
-    rows = base.join(F.broadcast(marked), "doc_id").select("doc_id", "y", "text").mapInArrow(_extract(shared), "doc_id long, y int, features array<string>, sketch long")
-    rows = rows.dropDuplicates(["sketch"]).persist()
+    rows = base.join(F.broadcast(marked), "doc_id").select("doc_id", "y", "text").mapInArrow(_extract(shared), "doc_id long, y int, features array<string>, digest binary")
+    # Rows of one digest have the same features, so it does not matter which of them stays.
+    rows = rows.select("y", "features", "digest").dropDuplicates(["digest", "y"]).persist()
     try:
         size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
         toxic, clean = size.get(1, 0), size.get(0, 0)
@@ -268,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         names = [r["f"] for r in chosen.collect()]
         at = {f: j for j, f in enumerate(names)}
         known = F.filter("features", lambda f: f.isin(names)) if len(names) < 50 else F.array_intersect("features", F.array(*[F.lit(f) for f in names]))
-        fitted = fit_l1([(r["y"], [at[f] for f in r["k"]]) for r in rows.select("y", known.alias("k")).orderBy("sketch").collect()], names)
+        fitted = fit_l1([(r["y"], [at[f] for f in r["k"]]) for r in rows.select("y", known.alias("k")).orderBy("digest", "y").collect()], names)
     finally:
         rows.unpersist()
     return counts, fitted

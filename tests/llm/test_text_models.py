@@ -234,3 +234,15 @@ def test_wrapped_licences(spark, docs_of, prose):
              (6, "Permission is hereby granted\n\nto the software without restriction"), (7, "Released under\nthe MIT\nLicense."), (8, "We use creative words in public.\nThe domain is open.")]
     got = {r["doc_id"]: r["families"] for r in license_scan.licence_scan(docs_of(texts)).collect()}
     assert got == {1: "MIT", 2: "BSD", 3: "GPL-3.0", 4: "CC-BY", 5: "Public-Domain", 6: None, 7: "MIT", 8: None}
+
+
+def test_training_rows_fall_out_as_exact_copies_only(spark, docs_of, monkeypatch):
+    words = "aaaa bbbb cccc dddd eeee ffff".split()
+    # Near copies that share most words, and exact copies with either label.
+    texts = [(i, " ".join([*words, f"w{'abcdefghij'[i % 10]}{'abcdef'[i // 10]}end", *["vequanto"] * (i % 2 == 0)])) for i in range(60)] + [(100 + i, "one text often") for i in range(12)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i, _ in texts], "doc_id long, toxic int")
+    seen, fit = [], toxicity.fit_l1
+    monkeypatch.setattr(toxicity, "fit_l1", lambda rows, names: seen.append(sorted(y for y, _ in rows)) or fit(rows, names))
+    toxicity.train(docs_of(texts), labels)
+    kept = {(t, int(i % 2 == 0)) for i, t in texts if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert seen == [sorted(y for _, y in kept)]
