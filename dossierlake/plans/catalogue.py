@@ -275,10 +275,10 @@ _IDS = """WITH own AS (SELECT DISTINCT 'c' || o_custkey AS owner, 'k' || o_order
     down AS (SELECT DISTINCT path, owner FROM ref JOIN own USING (id))"""
 
 
-def _ids(spark, sf_dir):
+def _ids(spark, sf_dir, named="l_quantity > 45"):
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     own = _t(spark, sf_dir, "orders").select(key("c", "o_custkey").alias("path"), F.lit("own").alias("kind"), key("k", "o_orderkey").alias("id"))
-    return own.unionByName(_t(spark, sf_dir, "lineitem").where("l_quantity > 45").select(key("p", "l_partkey").alias("path"), F.lit("ref").alias("kind"), key("k", "l_orderkey").alias("id")))
+    return own.unionByName(_t(spark, sf_dir, "lineitem").where(named).select(key("p", "l_partkey").alias("path"), F.lit("ref").alias("kind"), key("k", "l_orderkey").alias("id")))
 
 
 @query(_IDS + " SELECT path, owner AS related_path, 'derived_from' AS rel_type FROM down UNION ALL SELECT owner, path, 'parent_of' FROM down")
@@ -291,6 +291,18 @@ def derived_counts(spark, sf_dir):
     return relations.cross_reference(_ids(spark, sf_dir)).where("rel_type = 'parent_of'").groupBy("path").agg(F.count("*").alias("n_children"))
 
 
+@query()
+def cross_reference_whole(spark, sf_dir):
+    """cross_reference over the references of all rows."""
+    return relations.cross_reference(_ids(spark, sf_dir, "true"))
+
+
+@query()
+def derived_counts_whole(spark, sf_dir):
+    """derived_counts over the references of all rows."""
+    return relations.cross_reference(_ids(spark, sf_dir, "true")).where("rel_type = 'parent_of'").groupBy("path").agg(F.count("*").alias("n_children"))
+
+
 @query("SELECT md5(text) AS content_hash, count(DISTINCT doc_id) AS n, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT doc_id) > 1")
 def duplicate_content(spark, sf_dir):
     return relations.duplicates(_t(spark, sf_dir, "documents").where("text is not null"), "doc_id", "text")
@@ -346,9 +358,19 @@ def free_text_filter(spark, sf_dir):
     n AS (SELECT *, row_number() OVER (ORDER BY place NULLS LAST, k, path) AS row_id FROM r)
     SELECT n.row_id, n.path, h.row_id AS parent_id FROM n LEFT JOIN n h ON h.k = 0 AND h.path = n.original_path""")
 def report_rows(spark, sf_dir):
+    return _report(spark, sf_dir, "o_orderkey % 50 = 0", "l_orderkey % 50 = 0")
+
+
+@query()
+def report_rows_whole(spark, sf_dir):
+    """report_rows over all keys."""
+    return _report(spark, sf_dir, "true", "true")
+
+
+def _report(spark, sf_dir, of_orders, of_lines):
     key = lambda c: F.concat(F.lit("o"), F.col(c).cast("string"))
-    parents = _t(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(key("o_orderkey").alias("path"), F.col("o_orderkey").alias("place"))
-    children = _t(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").select(F.concat(key("l_orderkey"), F.lit("_"), F.col("l_linenumber").cast("string")).alias("path"), key("l_orderkey").alias("original_path"))
+    parents = _t(spark, sf_dir, "orders").where(of_orders).select(key("o_orderkey").alias("path"), F.col("o_orderkey").alias("place"))
+    children = _t(spark, sf_dir, "lineitem").where(of_lines).select(F.concat(key("l_orderkey"), F.lit("_"), F.col("l_linenumber").cast("string")).alias("path"), key("l_orderkey").alias("original_path"))
     return relations.number_report(parents, children).withColumn("row_id", _long("row_id")).withColumn("parent_id", _long("parent_id"))
 
 
