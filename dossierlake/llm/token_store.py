@@ -7,7 +7,7 @@ Layout of a store (a folder that Spark writes and reads, so any file system work
   manifest/            level, part, n_docs, n_tokens, root: one row per recipe part, its root over the documents' roots, and one row for the store
 
 A gear hash over the last 16 ids of a document's stream cuts it where the hash has CUT_BITS zero bits, so equal passages give equal chunks
-wherever they stand. Reading checks each chunk against its digest and each document against its root, and the manifest last.
+wherever they stand. Reading checks the recipes against the manifest first, then each chunk against its digest and each document against its root.
 """
 
 from __future__ import annotations
@@ -359,8 +359,10 @@ def _joined(steps: pd.Series) -> pd.DataFrame:
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files. Chunk bytes are read once and never shuffled: a chunk's crc32
-    travels instead, and crc32 of a document follows from those of its chunks. Fails if a document's chunks do not give its length and
-    Merkle root."""
+    travels instead, and crc32 of a document follows from those of its chunks. Fails at the call if the recipes are not what the manifest
+    says, and when read if a document's chunks do not give its length and Merkle root."""
+    if not verify(spark, path):
+        raise ValueError("the recipes differ from the manifest")
     recipes = spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
     chunks = spark.read.schema(_CHUNKS).parquet(f"{path}/content/kind=chunk").mapInArrow(_checked, "digest binary, n_ids int, crc long")
     steps = _steps(recipes).join(chunks, "digest", "left")

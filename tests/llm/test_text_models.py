@@ -246,3 +246,17 @@ def test_training_rows_fall_out_as_exact_copies_only(spark, docs_of, monkeypatch
     toxicity.train(docs_of(texts), labels)
     kept = {(t, int(i % 2 == 0)) for i, t in texts if zlib.crc32(str(i).encode()) % 3 != 1}
     assert seen == [sorted(y for _, y in kept)]
+
+
+def test_reading_compares_the_manifest(spark, docs_of, tmp_path):
+    import glob
+    import os
+
+    with open(tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    path = f"{tmp_path}/store"
+    token_store.write_store(docs_of([(i, f"text number {i}") for i in range(40)]), path, definition)
+    assert token_store.read_digests(spark, path).count() == 40
+    os.remove(sorted(glob.glob(f"{path}/recipes/part-*.parquet"))[-1])
+    with pytest.raises(ValueError, match="manifest"):
+        token_store.read_digests(spark, path).count()
