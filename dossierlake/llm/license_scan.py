@@ -18,6 +18,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dossierlake.llm.common import id_and_text
 
@@ -198,8 +199,11 @@ def licence_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = named.withColumn("covered", model.covered(F.col("words"), F.col("guess"), F.col("of_run")))
     sure = (F.col("guess") != UNKNOWN) & (F.col("probability") >= least)
     named = named.select("row", "doc_id", "line_no", "line", "of_run", F.struct(F.when(sure, F.col("guess")).otherwise(F.lit(UNKNOWN)).alias("family"), "probability", "covered", (sure & (F.col("covered") >= cover)).alias("confirmed")).alias("found"))
-    # A line alone counts unless only its run is confirmed.
-    best = named.groupBy("row", "line_no").agg(F.first("doc_id").alias("doc_id"), F.first("line").alias("line"), F.max_by("found", F.struct("found.confirmed", -F.col("of_run"))).alias("found"))
+    # A line alone counts unless only its run is confirmed, and a run only where the next line, or its run, does not confirm the same.
+    best = named.groupBy("row", "line_no").agg(F.first("doc_id").alias("doc_id"), F.first("line").alias("line"), F.min_by("found", "of_run").alias("alone"), F.max_by("found", F.struct("found.confirmed", -F.col("of_run"))).alias("found"))
+    after = F.lead(F.struct("line_no", "found")).over(Window.partitionBy("row").orderBy("line_no"))
+    again = (F.col("after.line_no") == F.col("line_no") + 1) & F.col("after.found.confirmed") & (F.col("after.found.family") == F.col("found.family"))
+    best = best.withColumn("after", after).withColumn("found", F.when(~F.col("alone.confirmed") & again, F.col("alone")).otherwise(F.col("found")))
     return best.select("doc_id", "line_no", "line", "found.*")
 
 

@@ -233,6 +233,8 @@ def test_wrapped_licences(spark, docs_of, prose):
     texts = [(1, prose(30, 1) + "\n" + mit + "\n" + prose(30, 2)), (2, bsd), (3, gpl.replace("\n", "\r\n")), (4, "available under Creative Commons Attribution 4.0 International"), (5, "This work is in the public domain."),
              (6, "Permission is hereby granted\n\nto the software without restriction"), (7, "Released under\nthe MIT\nLicense."), (8, "We use creative words in public.\nThe domain is open.")]
     got = {r["doc_id"]: r["families"] for r in license_scan.licence_scan(docs_of(texts)).collect()}
+    once = license_scan.licence_scan(docs_of([(1, prose(30, 1) + "\n" + prose(9, 3) + "\nReleased under the MIT License.\n" + prose(30, 2)), (2, texts[0][1])])).collect()
+    assert [(r["families"], r["n_lines"]) for r in once] == [("MIT", 1)] * 2
     assert got == {1: "MIT", 2: "BSD", 3: "GPL-3.0", 4: "CC-BY", 5: "Public-Domain", 6: None, 7: "MIT", 8: None}
 
 
