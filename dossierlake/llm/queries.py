@@ -65,7 +65,8 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score(_table(spark, sf_dir, "documents"), _definition("byte_bpe_50k.json"))
+    with open(vocabulary("byte_bpe_50k.tiktoken"), "rb") as f:
+        return lm_score(_table(spark, sf_dir, "documents"), f.read())
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from dossierlake.llm import attention, html_extract, license_scan, lm_score, sentencepiece_codec, token_store, toxicity
+from dossierlake.llm import html_extract, license_scan, sentencepiece_codec, token_store, toxicity
 from odd_cases import ODD
 
 tokenizers = pytest.importorskip("public_tokenizers")
@@ -130,88 +130,6 @@ def test_licences(spark, docs_of, prose):
     assert all(got[i] is None for i, _ in ODD)
 
 
-def test_windows_score_each_target_once():
-    n = np.array([0, 1, 24, 25, 60, 1000])
-    own, first, scored, end = attention.windows(n)
-    seen = Counter((o, p) for o, f, s, e in zip(own, first, scored, end) for p in range(s, min(f + attention.WINDOW, e)))
-    assert set(seen.values()) == {1}
-    assert len(seen) == n.sum()
-
-
-def test_gradients():
-    model = attention.Attention(5)
-    rng = np.random.default_rng(0)
-    x, y = rng.integers(0, 6, (2, attention.WINDOW)), rng.integers(0, 5, (2, attention.WINDOW))
-    model.p = {k: v.astype(float) for k, v in model.p.items()}
-    _, g = model.gradients(x, y)
-    for name, p in model.p.items():
-        at = tuple(rng.integers(0, s) for s in p.shape)
-        old = p[at]
-        p[at] = old + 1e-3
-        up = -np.take_along_axis(model.forward(x)[0], y[..., None], -1).mean()
-        p[at] = old - 1e-3
-        down = -np.take_along_axis(model.forward(x)[0], y[..., None], -1).mean()
-        p[at] = old
-        assert abs((up - down) / 2e-3 - g[name][at]) < 1e-4, name
-
-
-def test_base_scores_follow_the_formula(spark, docs_of, prose):
-    with open(tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
-        definition = f.read()
-    texts = [*ODD, *[(30 + i, prose(60, i)) for i in range(60)]]
-    rows = lm_score.lm_score(docs_of(texts), definition, head=20).collect()
-    out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
-    words = lambda t: [*(t or "").encode().lower().split(), None]
-    counts = Counter(w for i, t in texts if not out(i) for w in words(t))
-    n, v = sum(counts.values()), len(counts)
-    want = sorted((str(i), out(i), len(words(t)), sum(counts[w] > 0 for w in words(t)), n, round(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words(t)), 4)) for i, t in texts)
-    assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in rows) == want
-    assert all(r["score"] < 0 for r in rows)
-
-
-def test_scores_do_not_depend_on_the_head(spark, docs_of, prose):
-    with open(tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
-        definition = f.read()
-    texts = [*ODD, *[(30 + i, prose(60, i) + f" rarity{i}word unseen-{i * i}-thing") for i in range(60)]]
-    few, all_ = (sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 6)) for r in lm_score.lm_score(docs_of(texts), definition, head=h, sample=20).collect()) for h in (5, 10_000))
-    assert few == all_
-
-
-def test_words_are_told_by_all_counts():
-    rng = np.random.default_rng(1)
-    size, n = 30, 4
-    words = sorted({tuple(rng.integers(0, 5, rng.integers(1, 7)).tolist()) for _ in range(300)})
-    counts = [int(c) for c in rng.integers(0, 4, len(words))]
-    begun, after, c = Counter(), Counter(), np.zeros(size + 1)
-    classes = rng.integers(0, n, size + 1)
-    for w, v in zip([*words, (size,)], [*counts, 7]):
-        for j, i in enumerate(w):
-            c[i] += v
-            for table, h in ((begun, w[:j]), (after, w[j - 1])) if j else ((begun, ()),):
-                for key in ((h, "id", i), (h, "class", classes[i]), (h,)):
-                    table[key] += v
-    rows = Counter()
-    for batch in lm_score._id_counts(size)(iter([__import__("pyarrow").RecordBatch.from_arrays([counts, [np.array(w, "<u4").tobytes() for w in words]], ["c", "ids"])])):
-        rows.update({(b, i): v for b, i, v in zip(*[x.to_pylist() for x in batch.columns]) if b is not None})
-    model = object.__new__(lm_score.Model)
-    model.end, model.smooth, model.classes = size, 3.0, classes.astype(np.int64)
-    by = np.bincount(classes, weights=c + 0.1, minlength=n)
-    model.share, model.inside = by / by.sum(), (c + 0.1) / by[classes]
-    model.histories = lm_score.Histories(*[np.array(x) for x in zip(*[(b, i, v) for (b, i), v in rows.items()], (0, size, 7))], model.classes)
-    for w, (kinds, shares, total) in zip(words, model.tell([list(w) for w in words], counts)):
-        want, logs = [], 0.0
-        for j, i in enumerate(w):
-            share, inside, k = model.share[classes[i]], model.inside[i], classes[i]
-            for table, h in ((after, w[j - 1]), (begun, w[:j])) if j else ((begun, ()),):
-                m = table[h, "class", k]
-                share, inside = (m + 3 * share) / (table[h,] + 3), (table[h, "id", i] + 3 * inside) / (m + 3)
-            want.append(share)
-            logs += math.log(inside)
-        assert list(kinds) == [classes[i] for i in w]
-        assert np.allclose(np.frombuffer(shares, "<f4"), want, rtol=1e-5)
-        assert abs(total - logs) < 1e-9
-
-
 def test_store_finds_special_tokens(spark, docs_of, tmp_path):
     from tokenizers import Tokenizer
 
