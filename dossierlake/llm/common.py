@@ -15,13 +15,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session. Where it is unset, as in local tests, a
-    temporary folder is made, set as checkpoint directory and removed when Python ends."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Where it is unset, a local session, as in tests,
+    gets a temporary folder, set as checkpoint directory and removed when Python ends; on a cluster that is an error, as executors would
+    not see each other's files."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         set_one = spark.sparkContext.getCheckpointDir()
         if set_one:
             return set_one.rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="dossierlake-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
@@ -38,7 +41,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def remove(*frames: DataFrame | None) -> None:
+    """Deletes the files behind results of written() that nothing reads any more. Others are left alone."""
+    for df in frames:
+        path = getattr(df, "_written_to", None)
+        if path:
+            remove_path(df.sparkSession, path)
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

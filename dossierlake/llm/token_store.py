@@ -13,7 +13,7 @@ wherever they stand. Reading checks the recipes against the manifest first, then
 from __future__ import annotations
 
 import hashlib
-import re
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -26,12 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from dossierlake.llm.common import id_and_text
+from dossierlake.llm.common import id_and_text, remove_path
 
 #: A cut where this many bits are zero (512 ids on average), least and most ids of a chunk.
 CUT_BITS, LEAST, MOST = 9, 32, 4096
-#: Distinct chunks of text and words whose ids a worker remembers.
-MEMORY = 600_000
 _GEAR = np.random.default_rng(2024).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
 
@@ -63,115 +61,87 @@ def cut_points(ids: np.ndarray, marks: np.ndarray | None = None) -> list[int]:
     return out
 
 
-def merkle_root(leaves: list[bytes]) -> bytes:
-    """SHA-256 tree; leaves and inner nodes have prefixes of their own, an odd node moves up; no leaf gives the hash of nothing."""
-    level = [hashlib.sha256(b"\0" + x).digest() for x in leaves]
-    while len(level) > 1:
-        level = [hashlib.sha256(b"\1" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0] if level else hashlib.sha256(b"").digest()
+class Merkle:
+    """SHA-256 tree over leaves that come one by one: leaves and inner nodes have prefixes of their own, and where a level has an odd number
+    of nodes the last one moves up. Holds one node a level."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[int, bytes]] = []  # (height, hash), heights falling
 
+    def add(self, leaf: bytes) -> None:
+        node = (0, hashlib.sha256(b"\0" + leaf).digest())
+        while self.open and self.open[-1][0] == node[0]:
+            node = (node[0] + 1, hashlib.sha256(b"\1" + self.open.pop()[1] + node[1]).digest())
+        self.open.append(node)
 
-class _InRun(Exception):
-    """A part has white space at an end, so a run of it reaches over a blank."""
+    def root(self) -> bytes:
+        """No leaf gives the hash of nothing."""
+        if not self.open:
+            return hashlib.sha256(b"").digest()
+        out = self.open[-1][1]
+        for _, x in reversed(self.open[:-1]):
+            out = hashlib.sha256(b"\1" + x + out).digest()
+        return out
 
 
-class _Parts(dict):
-    """Part to the ids of a blank and the part, for parts without white space at their ends."""
+def merkle_root(leaves: list[bytes]) -> bytes:
+    tree = Merkle()
+    for x in leaves:
+        tree.add(x)
+    return tree.root()
+
+
+# The published split pattern of byte-level BPE.
+BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
-    def __init__(self, encoder: Encoder) -> None:
-        super().__init__()
-        self.encoder = encoder
+def _byte_letters() -> list[str]:
+    """The printable stand-in of each byte: itself where it is printable Latin-1, else the next code point from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
-    def __missing__(self, part: str) -> bytes:
-        if not part or part[0].isspace() or part[-1].isspace():
-            raise _InRun
-        ids = self.encoder._later(part)
-        if len(part) < 64:
-            if len(self) > MEMORY:
-                self.clear()
-            self[part] = ids
-        return ids
 
-    def of_first(self, part: str) -> bytes:
-        if not part or part[0].isspace() or part[-1].isspace():
-            raise _InRun
-        return self.encoder._part(part)
+def byte_ranks(definition: str) -> dict[bytes, int] | None:
+    """Bytes of each piece to its id, if the definition is plain byte-level BPE whose ids follow the order of merges (an id is then its
+    merge's rank too); None for any other."""
+    told = json.loads(definition)
+    model, pre = told["model"], told.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not told.get("normalizer")
+    if not plain or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    byte_of = {c: b for b, c in enumerate(_byte_letters())}
+    merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    if any(model["vocab"].get(m) != 256 + k for k, m in enumerate(merges)):
+        return None
+    pieces = [p for p, i in model["vocab"].items() if i < 256 + len(merges)]
+    if len(pieces) != 256 + len(merges) or not all(c in byte_of for p in pieces for c in p):
+        return None
+    return {bytes(byte_of[c] for c in p): model["vocab"][p] for p in pieces}
 
 
 class Encoder:
-    """Ids of whole texts with the tokenizers library's byte-level BPE. Texts fall apart at single blanks between non-blanks, where the
-    pre-tokenizer always splits; parts repeat and are remembered, and new ones go to the library's model word by word. With special, the
-    definition's special tokens count where a text spells them, as the library has it by default; else they are encoded as other text.
-    Texts that hold an added token go to the library whole."""
+    """Ids of whole texts as the tokenizers library gives them. Plain byte-level BPE goes through the faster library of ranks, which gives
+    the same ids; texts that hold an added token, and all texts of other definitions, through the tokenizers library itself. With special,
+    the definition's special tokens count where a text spells them, as that library has it by default; else they are encoded as other text."""
 
     def __init__(self, definition: str, special: bool = False) -> None:
-        import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(definition)
         self.whole.encode_special_tokens = not special
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values() if special or not t.special]
-        pre = type(self.whole.pre_tokenizer).__name__
-        self.by_part = pre == "ByteLevel" and self.whole.normalizer is None and not self.whole.pre_tokenizer.add_prefix_space
-        self.split = regex.compile(BYTE_LEVEL_SPLIT)
-        self.model = self.whole.model
-        self.map = {i: c for i, c in enumerate(_byte_letters())}
-        self.parts = _Parts(self)
-        self.words: dict[str, bytes] = {}
-
-    def _word(self, w: str) -> bytes:
-        """Ids of one pre-token."""
-        ids = self.words.get(w)
-        if ids is None:
-            if len(self.words) > MEMORY:
-                self.words.clear()
-            if w.isascii() and w[1:].isalpha() and w[0] == " ":
-                spelled = self.map[32] + w[1:]
-            else:
-                spelled = w.encode("utf-8").decode("latin-1").translate(self.map)
-            ids = self.words[w] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
-        return ids
-
-    def _part(self, part: str) -> bytes:
-        return b"".join([self._word(w) for w in self.split.findall(part)])
-
-    def _later(self, part: str) -> bytes:
-        """Ids of a blank and the part; letters alone, or with one mark after them, need no pattern."""
-        if part.isalpha():
-            return self._word(" " + part)
-        if part[-1:] in ".,;:!?)" and part[:-1].isalpha():
-            return self._word(" " + part[:-1]) + self._word(part[-1])
-        return self._part(" " + part)
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian uint32, without special tokens."""
-        if not self.by_part or any(t in text for t in self.added):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        first, *rest = text.split(" ")
-        try:
-            return self.parts.of_first(first) + b"".join(map(self.parts.__getitem__, rest))
-        except _InRun:
-            return self._in_runs(text)
-
-    def _in_runs(self, text: str) -> bytes:
-        """Texts with runs of white space: parts end only at a blank between two characters that are none."""
-        if not text:
-            return b""
-        first, *rest = SINGLE.split(text)
-        return self._part(first) + b"".join([self.parts.get(x) or self._later(x) for x in rest])
-
+        ranks, self.fast = byte_ranks(definition), None
+        if ranks:
+            import tiktoken
 
-# The published split pattern of byte-level BPE.
-BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A blank between two characters that are no white space.
-SINGLE = re.compile(r"(?<=\S) (?=\S)")
+            self.fast = tiktoken.Encoding("store", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
-
-def _byte_letters() -> list[str]:
-    """The printable stand-in of each byte: itself where it is printable Latin-1, else the next code point from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+    def encode(self, text: str) -> np.ndarray:
+        """Ids as uint32, without special tokens."""
+        if self.fast is None or any(t in text for t in self.added):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.fast.encode_to_numpy(text, disallowed_special=())
 
 
 _encoders: dict[str, Encoder] = {}
@@ -196,18 +166,19 @@ def _encoding(definition, end_id: int | None, width: int):
         if key not in _encoders:
             _encoders[key] = Encoder(definition.value, special=True)
         encoder, press, seen = _encoders[key], zstandard.ZstdCompressor(level=1), set()
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        end = np.array([] if end_id is None else [end_id], "<u4")
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part, rows = b.slice(at, 256), []
-                streams = [encoder.encode(t) + end for t in part.column(1).to_pylist()]
-                ids = np.frombuffer(b"".join(streams), "<u4")
+                streams = [x for t in part.column(1).to_pylist() for x in (encoder.encode(t), end)]
+                sizes = [len(x) + len(end) for x in streams[::2]]
+                ids = np.concatenate(streams).astype("<u4", copy=False)
                 if len(ids) and width == 2 and ids.max() >= 1 << 16:
                     raise ValueError("an id is above 65535: use width=4")
                 marks = np.flatnonzero((gear_hashes(ids) >> np.uint64(64 - CUT_BITS)) == 0) + 1 if len(ids) else np.empty(0, int)
                 begin = 0
-                for doc_id, raw in zip(part.column(0).to_pylist(), streams):
-                    n = len(raw) // 4
+                for doc_id, n in zip(part.column(0).to_pylist(), sizes):
+                    raw = ids[begin : begin + n].tobytes()
                     low, high = np.searchsorted(marks, (begin, begin + n), "right")
                     # A hash near a document's start also sees the one before it, but no cut falls within the first LEAST > 16 ids.
                     ends = cut_points(ids[begin : begin + n], marks[low:high] - begin)
@@ -217,7 +188,7 @@ def _encoding(definition, end_id: int | None, width: int):
                         digest = hashlib.sha256(piece).digest()
                         digests.append(digest)
                         if digest not in seen:
-                            if len(seen) > 1_000_000:
+                            if len(seen) > 300_000:
                                 seen.clear()
                             seen.add(digest)
                             rows.append((None, None, None, None, digest, e - a, press.compress(piece if width == 4 else ids[begin + a : begin + e].astype("<u2").tobytes())))
@@ -258,12 +229,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int | N
     ordered = recipes.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("root").asc()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
     ordered.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq"), "*").write.option("compression", "zstd").parquet(f"{path}/recipes")
     manifest(spark, path).write.parquet(f"{path}/manifest")
-    _remove(spark, f"{staged}/kind=recipe")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    remove_path(spark, f"{staged}/kind=recipe")
 
 
 _RECIPES = "part int, seq long, doc_id long, n_tokens long, digests binary, root binary"
@@ -275,11 +241,23 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     """The manifest as the recipes now stand: a row per part (root over its documents' roots in order) and the store's row."""
     recipes = spark.read.schema(_RECIPES).parquet(f"{path}/recipes").select("part", "seq", "n_tokens", "root")
 
-    def part_root(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        return pd.DataFrame([("part", int(rows["part"].iloc[0]), len(rows), int(rows["n_tokens"].sum()), merkle_root(list(rows["root"])))], columns=["level", "part", "n_docs", "n_tokens", "root"])
-
-    parts = recipes.groupBy("part").applyInPandas(part_root, _MANIFEST).orderBy("part").collect()  # one row per file
+    def part_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in order of part and seq; a row a part."""
+        done, part, n, tokens, tree = [], None, 0, 0, Merkle()
+        for b in batches:
+            for own, more, root in zip(*[b.column(c).to_pylist() for c in ("part", "n_tokens", "root")]):
+                if own != part:
+                    if n:
+                        done.append(("part", part, n, tokens, tree.root()))
+                    part, n, tokens, tree = own, 0, 0, Merkle()
+                n, tokens = n + 1, tokens + more
+                tree.add(root)
+        if n:
+            done.append(("part", part, n, tokens, tree.root()))
+        types = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(types)], ["level", "part", "n_docs", "n_tokens", "root"])
+
+    parts = recipes.repartition("part").sortWithinPartitions("part", "seq").mapInArrow(part_roots, _MANIFEST).orderBy("part").collect()  # one row per file
     top = ("store", None, sum(r["n_docs"] for r in parts), sum(r["n_tokens"] for r in parts), merkle_root([bytes(r["root"]) for r in parts]))
     return spark.createDataFrame([*[tuple(r) for r in parts], top], _MANIFEST)
 
@@ -339,6 +317,11 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(crcs, pa.int64())], ["digest", "n_ids", "crc"])
 
 
+def _chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The chunks; a store without documents has none, and no folder of them either."""
+    return spark.read.schema(f"{_CHUNKS}, kind string").parquet(f"{path}/content").where("kind = 'chunk'").select("digest", "n_ids", "data")
+
+
 def _steps(recipes: DataFrame) -> DataFrame:
     """A row per document and chunk: seq, at, digest. Digests lie in a row of 32 bytes each."""
     at = F.sequence(F.lit(0), (F.octet_length("digests") / 32).cast("int") - 1)
@@ -364,7 +347,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     if not verify(spark, path):
         raise ValueError("the recipes differ from the manifest")
     recipes = spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
-    chunks = spark.read.schema(_CHUNKS).parquet(f"{path}/content/kind=chunk").mapInArrow(_checked, "digest binary, n_ids int, crc long")
+    chunks = _chunks(spark, path).mapInArrow(_checked, "digest binary, n_ids int, crc long")
     steps = _steps(recipes).join(chunks, "digest", "left")
     sums = steps.groupBy("seq").agg(F.first("n_tokens").alias("n"), F.first("root").alias("said"), F.array_sort(F.collect_list(F.struct("at", "n_ids", "crc", "digest"))).alias("steps")).withColumn("got", F.pandas_udf(_joined, "struct<n_ids:long,crc:long,root:binary>")("steps"))
     good = (F.col("got.n_ids") == F.col("n")) & (F.col("got.root") == F.col("said"))
@@ -380,7 +363,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, ids array<int>: the documents themselves, put together from their chunks."""
     recipes = spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
-    chunks = spark.read.schema(_CHUNKS).parquet(f"{path}/content/kind=chunk")
+    chunks = _chunks(spark, path)
 
     @F.pandas_udf("array<int>")
     def whole(steps: pd.Series) -> pd.Series:
