@@ -19,13 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from dossierlake.llm.common import held_out, id_and_text
+from dossierlake.llm.common import held_out, id_and_text, remove, written
 
 #: Labelled rows that the classifier is fitted to, at most; features that it may choose from.
 SAMPLE, FEATURES = 20_000, 3_000
 THRESHOLD = 0.7
-MEMORY = 400_000
+#: Bytes of tokens that a task remembers.
+MEMORY = 48 << 20
 
 # What a character may stand for.
 LEET = {
@@ -39,11 +41,11 @@ ZERO_WIDTH = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
 
 WORDS = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"(.)\1*", re.S)
-_EDGE = re.compile(r"^[^\w@$!]+|[^\w@$!]+$|[@$!]{2,}$|^[@$!]{2,}")
+_EDGE = re.compile(r"[^\w@$!]+|[@$!]{2,}")
 _LONG_RUN, _DOUBLE = re.compile(r"([^\W\d_])\1\1"), re.compile(r"([^\W\d_])\1")
 _MARK = re.compile(r"[0-9@$!|+(€£¡]")
 _APART = re.compile(r"[^\W\d_][.\-_*'·~^/\\,]+[^\W\d_]")
-_SPELLED = re.compile(r"(?<!\S)[\w@$!|+](?:[ .\-_*]+[\w@$!|+]){3,}(?!\S)")
+_SPELLED = re.compile(r"(?<!\S)(?!_)[\w@$!|+](?:[ .\-_*]++[\w@$!|+]){3,}(?!\S)")
 _FOREIGN = re.compile(r"[Ͱ-ϿЀ-ӿ]")
 
 
@@ -80,23 +82,27 @@ class CharacterModel:
 
     def decode(self, seen: str) -> tuple[str, float]:
         """The likeliest letters behind the characters, and their model log probability per letter (border included)."""
-        paths: dict[tuple[int, int], tuple[float, float, str]] = {(0, 0): (0.0, 0.0, "")}
+        paths: dict[tuple[int, int], tuple] = {(0, 0): (0.0, 0.0, None)}  # total, own, letters as a chain from the last ones back
         for run in _RUN.finditer(seen):
             options = _options(run.group(1), len(run.group(0)))
-            new: dict[tuple[int, int], tuple[float, float, str]] = {}
-            for (a, b), (total, own, text) in paths.items():
+            new: dict[tuple[int, int], tuple] = {}
+            for (a, b), (total, own, chain) in paths.items():
                 for letters, cost in options:
                     x, y, add = a, b, 0.0
                     for c in letters:
                         z = self.of(c)
                         add += self.table[x][y][z]
                         x, y = y, z
-                    found = (total + cost + add, own + add, text + letters)
                     old = new.get((x, y))
-                    if old is None or found[0] > old[0]:
-                        new[x, y] = found
+                    if old is None or total + cost + add > old[0]:
+                        new[x, y] = (total + cost + add, own + add, (letters, chain) if letters else chain)
             paths = new
-        (a, b), (total, own, text) = max(paths.items(), key=lambda p: (p[1][0] + self.table[p[0][0]][p[0][1]][0], p[1][2]))
+        (a, b), (total, own, chain) = max(paths.items(), key=lambda p: (p[1][0] + self.table[p[0][0]][p[0][1]][0], p[0]))
+        parts = []
+        while chain:
+            parts.append(chain[0])
+            chain = chain[1]
+        text = "".join(reversed(parts))
         return text, (own + self.table[a][b][0]) / (len(text) + 1)
 
 
@@ -112,7 +118,8 @@ def _options(c: str, n: int) -> list[tuple[str, float]]:
 
 def disguised(token: str) -> str | None:
     """The part of a token that looks like a word in disguise; None for ordinary tokens."""
-    core = _EDGE.sub("", token)
+    before, after = _EDGE.match(token), _EDGE.match(token[::-1])
+    core = token[before.end() if before else 0 : len(token) - after.end() if after else None]
     if len(core) < 3:
         return None
     if core.isalpha():
@@ -184,11 +191,15 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, n in by.items():
             total[k] += n
 
+    held = 0
     for b in batches:
         for text in b.column(0).to_pylist():
-            words.update(text.lower().split())
-            if len(words) > MEMORY:
+            tokens, before = text.lower().split(), len(words)
+            words.update(tokens)
+            held += (len(words) - before) * 120 + (len(text) if len(words) - before > len(tokens) // 2 else 0)
+            if held > MEMORY:
                 flush()
+                held = 0
     flush()
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["key", "n"])
@@ -256,7 +267,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     shared = spark.sparkContext.broadcast(counts)
     rows = base.join(F.broadcast(marked), "doc_id").select("doc_id", "y", "text").mapInArrow(_extract(shared), "doc_id long, y int, features array<string>, digest binary")
     # Rows of one digest have the same features, so it does not matter which of them stays.
-    rows = rows.select("y", "features", "digest").dropDuplicates(["digest", "y"]).persist()
+    rows = written(rows.select("y", "features", "digest").dropDuplicates(["digest", "y"]), "toxic-rows")
     try:
         size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
         toxic, clean = size.get(1, 0), size.get(0, 0)
@@ -270,7 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         known = F.filter("features", lambda f: f.isin(names)) if len(names) < 50 else F.array_intersect("features", F.array(*[F.lit(f) for f in names]))
         fitted = fit_l1([(r["y"], [at[f] for f in r["k"]]) for r in rows.select("y", known.alias("k")).orderBy("digest", "y").collect()], names)
     finally:
-        rows.unpersist()
+        remove(rows)
     return counts, fitted
 
 
@@ -278,30 +289,40 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """doc_id, held_out, score, predicted, n_hits, a row for a row of docs. Training happens at the call, scoring when the result is read.
 
     A null or empty text has no features and gets the score of the bias. Ids null or repeated are scored row by row. Without labels of both
-    kinds all scores are near the label there is (0 without any). Labels repeated for an id count as the largest. Other columns are ignored.
+    kinds all scores are near the label there is (0 without any). Labels repeated for an id count as the largest. An empty table gives an empty
+    result. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    counts, fitted = train(docs, labels, id_col, text_col, label_col, sample)
-    shared = spark.sparkContext.broadcast((counts, fitted.weights, fitted.bias))
+    base = id_and_text(docs, id_col, text_col)
+    scored = scored_rows(base, train(docs, labels, id_col, text_col, label_col, sample))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_hits")
+
+
+def scored_rows(docs: DataFrame, trained: tuple[dict[int, int], Classifier], text_col: str = "text") -> DataFrame:
+    """docs as they are, with score and n_hits (columns of these names are replaced)."""
+    counts, fitted = trained
+    shared = docs.sparkSession.sparkContext.broadcast((counts, fitted.weights, fitted.bias))
+    kept = [c for c in docs.columns if c not in ("score", "n_hits")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, weights, bias = shared.value
-        restorer, fitted, memory = Restorer(CharacterModel(counts)), Classifier(weights, bias), {}
+        restorer, fitted, memory, held = Restorer(CharacterModel(counts)), Classifier(weights, bias), {}, 0
         hits = lambda words: tuple(dict.fromkeys(f for w in words for f in features(w) if f in weights))
         for b in batches:
             scores, numbers = [], []
-            for text in b.column(2).to_pylist():
+            for text in b.column(text_col):
+                text = text.as_py() or ""
                 tokens = set(tokens_of(text))
-                if len(memory) > MEMORY:
+                if held > MEMORY:
                     memory.clear()
+                    held = 0
                 for t in tokens.difference(memory):
                     memory[t] = hits(restorer.words_of(t))
+                    held += len(t) + 150
                 found = {f for t in tokens if (h := memory[t]) for f in h}
                 found.update(hits(restorer.spelled(text.lower())))
                 scores.append(fitted.score(sorted(found)))
                 numbers.append(len(found))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array(numbers, pa.int64())], ["doc_id", "held_out", "score", "n_hits"])
+            yield pa.RecordBatch.from_arrays([*b.select(kept).columns, pa.array(scores, pa.float64()), pa.array(numbers, pa.int64())], [*kept, "score", "n_hits"])
 
-    base = id_and_text(docs, id_col, text_col)
-    scored = base.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, n_hits long")
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_hits")
+    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("score", T.DoubleType()), T.StructField("n_hits", T.LongType())])
+    return docs.select(*kept).mapInArrow(run, schema)
