@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from dossierlake.llm.common import id_and_text
 
 BLANK = "▁"
-#: Chunks that a worker remembers; then it starts anew.
-MEMORY = 600_000
+#: Bytes of chunks that a task remembers; then it starts anew.
+MEMORY = 80 << 20
 #: Characters with a column of their own in the vectorised automaton; longest chunk that goes through it.
 DENSE, LONGEST = 192, 48
 _PAIRS = 1 << 21
@@ -145,7 +145,7 @@ class PieceModel:
         for c in "\n\t\r":  # without a piece of their own: they end every match
             if c not in many:
                 self.column[ord(c)] = DENSE
-        goto = np.zeros((len(trie), DENSE + 1), np.int32)
+        goto = np.zeros((len(trie), DENSE + 1), np.uint16 if len(trie) < 1 << 16 else np.int32)
         for at in [0, *order]:
             if at:
                 goto[at] = goto[fail[at]]
@@ -335,20 +335,24 @@ def _model(proto: bytes) -> PieceModel:
 
 
 class _Memory(dict):
-    """Chunk to (ids as decimal text, decoded text)."""
+    """Chunk to its ids as decimal text; chunks that do not decode to themselves are in odd, with what they decode to."""
 
     def __init__(self, model: PieceModel) -> None:
         super().__init__()
-        self.model = model
+        self.model, self.odd, self.held = model, {}, 0
 
     def learn(self, chunks: list[str]) -> None:
-        if len(self) + len(chunks) > MEMORY:
+        if self.held > MEMORY:
             self.clear()
+            self.odd.clear()
+            self.held = 0
         for c, ids in zip(chunks, self.model.ids_of_chunks([c.replace(" ", BLANK) for c in chunks])):
-            self[c] = " ".join(map(str, ids)), self.model._said(ids)
-
-
-_memories: dict[int, _Memory] = {}
+            said = self[c] = " ".join(map(str, ids))
+            self.held += len(c) + len(said) + 230
+            decoded = self.model._said(ids)
+            if decoded != c:
+                self.odd[c] = decoded
+                self.held += len(c) + 200
 
 
 def model_bytes(path: str) -> bytes:
@@ -360,12 +364,13 @@ def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
     """doc_id, n_tokens (with the end id), ids_sha256 (of the decimal ids joined by a blank), decoded_sha256 (of the decoded text).
 
     A null text counts as empty: its ids are the end id alone and it decodes to the empty text. Ids null or repeated pass through, a row
-    for a row. The model file is read on the driver and travels with the task (half a megabyte)."""
+    for a row. An empty table gives an empty result; other columns are ignored. The model file is read on the driver and travels with the
+    task (half a megabyte)."""
     shared = docs.sparkSession.sparkContext.broadcast(model_bytes(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value)
-        memory = _memories.setdefault(id(model), _Memory(model))
+        memory = _Memory(model)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
@@ -375,15 +380,14 @@ def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
                     memory.learn(new[k : k + 100_000])
                 rows = []
                 for s in split:
+                    own, odd = memory, memory.odd
                     try:
-                        found = [memory[c] for c in s]
+                        ids = " ".join([*map(own.__getitem__, s), str(model.eos)])
                     except KeyError:  # forgotten meanwhile
-                        own = dict.fromkeys(s)
-                        for c, ids in zip(own, model.ids_of_chunks([c.replace(" ", BLANK) for c in own])):
-                            own[c] = " ".join(map(str, ids)), model._said(ids)
-                        found = [own[c] for c in s]
-                    ids = " ".join([x for x, _ in found] + [str(model.eos)])
-                    said = model._unprefixed("".join([y for _, y in found]))
+                        own = _Memory(model)
+                        own.learn(list(dict.fromkeys(s)))
+                        ids, odd = " ".join([*map(own.__getitem__, s), str(model.eos)]), own.odd
+                    said = model._unprefixed("".join([odd.get(c, c) for c in s] if odd else s))
                     rows.append((ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(said.encode()).hexdigest()))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
