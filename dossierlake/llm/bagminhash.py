@@ -3,7 +3,8 @@
 Signature: each shingle with count w has independent Poisson processes over the dyadic weight ranges [0,1), [1,2), [2,4), [4,8), ... that
 reach below w. A point has a time, one of M components and a weight level in its range; it counts if its level is below w. A component
 keeps the earliest time, so two documents agree in it with the probability of their weighted Jaccard similarity. A shingle's processes
-stop as soon as their time passes the document's latest component, so the work is about n + M ln M points.
+stop as soon as their time passes the document's latest component, so the work is about n + M ln M points. The dyadic ranges run as
+processes of their own; none is split downward into halves, as weights are counts and the ranges that reach below one are few.
 
 Candidates share a band of ROWS components. Equal texts are one node. In each bucket all nodes are compared with one pivot, links join
 into components, and buckets that still hold several components take further pivots. What is left then is joined exactly by prefix
@@ -22,12 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dossierlake.llm.common import id_and_text, written
+from dossierlake.llm.common import id_and_text, remove, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Components and bands; 5 rows a band. A pair at 0.8 shares no band with a probability of 3e-6.
 COMPONENTS, BANDS = 160, 32
 PIVOT_ROUNDS = 3
+#: Bytes of words that a task remembers.
+MEMORY = 48 << 20
 _SEED = np.uint64(0x5D0C1E5)
 
 
@@ -39,9 +42,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _WordHashes(dict):
+    held = 0
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        self.held += len(word) + 150
+        if self.held > MEMORY:
             self.clear()
+            self.held = 0
         out = self[word] = xxhash.xxh64_intdigest(word, 11)
         return out
 
@@ -124,7 +131,7 @@ def _banding(m: int, bands: int, size: int):
                 part = b.slice(at, 1024)
                 nodes = part.column(0).to_pylist()
                 new = [i for i, x in enumerate(nodes) if x not in seen and not seen.add(x)]
-                if len(seen) > 1_000_000:
+                if len(seen) > 300_000:
                     seen.clear()
                 if not new:
                     continue
@@ -164,9 +171,12 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         best = labels.join(near, labels["node"] == near["x"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         nxt = written(best.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
-        labels = nxt.select("node", "label")
+        remove(labels)
         if nxt.where("label < old").isEmpty():
-            return labels
+            remove(edges)
+            return nxt.select("node", "label")
+        labels = nxt.select("node", "label")
+        labels._written_to = nxt._written_to
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -228,7 +238,9 @@ def near_links(nodes: DataFrame, similarity: float = SIMILARITY, m: int = COMPON
     shared = each.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
     members = written(each.join(shared, "bucket", "left_semi"), "members")
     if members.isEmpty():
+        remove(signed)
         return None
+    remove(signed)
     wanted = members.select("node").distinct()
     texts = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = written(texts.mapInArrow(_elements(size), "node binary, elements array<long>"), "sets")
@@ -237,31 +249,46 @@ def near_links(nodes: DataFrame, similarity: float = SIMILARITY, m: int = COMPON
     current = _label(members, None)
     for turn in range(rounds + 1):
         pairs = _pivot_pairs(current, turn) if turn < rounds else _prefix_pairs(current, sets, similarity)
-        found = written(_verified(written(pairs, "pairs"), sets, similarity), "found")
+        pairs = written(pairs, "pairs")
+        found = written(_verified(pairs, sets, similarity), "found")
+        remove(pairs)
         links = found if links is None else links.unionByName(found)
         if not found.isEmpty():
             labels = components(links, "a", "b")
-        current = written(_open_buckets(_label(members, labels)), "open")
+        last, current = current, written(_open_buckets(_label(members, labels)), "open")
+        remove(last)
         if current.isEmpty():
             break
     return labels if labels is not None else spark.createDataFrame([], "node binary, label binary")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, m: int = COMPONENTS, bands: int = BANDS, size: int = SHINGLE) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest doc_id of its class), class_size, kept (it is that document).
+    """One row per document: doc_id, class_id (smallest doc_id of its class), class_size, kept (it is that document), text_md5.
 
     A class is a connected component of links, a link being a weighted Jaccard similarity of word-shingle counts of at least `similarity`;
     equal texts are always linked. Words lie between ASCII white space, case and marks count. A null text counts as empty, and all texts
-    without words that are equal form a class. A null doc_id never gives the class id unless all ids of the class are null. An empty table
+    without words that are equal form a class. A null doc_id never gives the class id unless all ids of the class are null. If two texts of
+    a class have its smallest id, the one with the smaller text_md5 is kept; rows that repeat id and text share the flag. An empty table
     gives an empty result; other columns are ignored.
     """
     base = id_and_text(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text")).withColumn("node", _node(F.col("text")))
     labels = near_links(base.select("node", "text"), similarity, m, bands, size)
     rows = base.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     named = _label(rows, labels)
-    classes = named.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
-    by_node = named.select("node", "label").join(classes, "label").select("node", "class_id", "class_size")
-    return base.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node"))
+    classes = named.groupBy("label").agg(first.alias("first"), F.sum("n").alias("class_size"))
+    by_node = named.select("node", "label").join(classes, "label").select("node", F.col("first.least").alias("class_id"), F.col("first.node").alias("owner"), "class_size")
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("owner"))
+    return base.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "class_size", kept.alias("kept"), F.lower(F.hex("node")).alias("text_md5"))
+
+
+def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that stay, one for each class, with all columns of docs. Of rows that repeat both id and text the one with the
+    smallest hash over its columns stays."""
+    marked = docs.withColumn("_md5", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    kept = near_dedup(docs, id_col, text_col, **options).where("kept").select(F.col("text_md5").alias("_md5"), F.col("doc_id").alias("_keep")).distinct()
+    rows = marked.join(kept, "_md5").where(F.col(id_col).cast("long").eqNullSafe(F.col("_keep")))
+    return rows.groupBy("_md5").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")).select("_row.*")
 
 
 def _node(text: Column) -> Column:
