@@ -9,20 +9,19 @@ seeded start. So quotas are integers before any row is chosen, and reruns agree
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from dossierlake.llm.common import WORD
+from dossierlake.llm.common import WORD, written
 
 BLOCK = 64
-SHARD_WORDS = 1 << 20
-MAX_SHARDS = 4096
 
 
 def capped_targets(sizes: Sequence[int], weights: Sequence[float], share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -67,6 +66,11 @@ def sainte_lague(votes: Sequence[float], seats: int, caps: Sequence[int]) -> lis
     return out
 
 
+def _shards(words: int, block: int) -> int:
+    """Shards of a source: they and their size grow alike, so that neither their list nor one of them gets large."""
+    return max(1, math.isqrt(words // (64 * block)))
+
+
 def _shard_plan(seed: int, block: int):
     def plan(cells: pd.DataFrame) -> pd.DataFrame:
         cells = cells.sort_values("shard").reset_index(drop=True)
@@ -84,7 +88,11 @@ def _shard_plan(seed: int, block: int):
     return plan
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 20, block: int = BLOCK, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def _size(text: Column) -> Column:
+    return F.when(text.isNull(), F.lit(0)).otherwise(F.regexp_count(text, F.lit(WORD))).cast("long")
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 20, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, passes (whole copies), cut_from and cut_to (the word range
     of one further, partial copy, end exclusive; equal if there is none).
 
@@ -95,23 +103,25 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     sized = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
-        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.regexp_count(F.col(text_col), F.lit(WORD))).cast("long").alias("size"),
+        _size(F.col(text_col)).alias("size"),
     )
-    return _mix_sized(sized, weights, share, most, seed, block, shard_words)
+    return _mix_sized(sized, weights, share, most, seed, block)
 
 
-def _mix_sized(sized: DataFrame, weights: Sequence[float], share: float, most: float, seed: int, block: int, shard_words: int) -> DataFrame:
+def _mix_sized(sized: DataFrame, weights: Sequence[float], share: float, most: float, seed: int, block: int) -> DataFrame:
+    """mix() for rows that have a size; further columns stay."""
+    more = [c for c in sized.columns if c not in ("doc_id", "source", "size")]
     spark = sized.sparkSession
     found = [(r["source"], int(r["source_size"] or 0)) for r in sized.groupBy("source").agg(F.sum("size").alias("source_size")).collect()]
     found.sort(key=lambda x: (x[0] is None, (x[0] or "").encode("utf-8")))
     sizes = [s for _, s in found]
     targets = capped_targets(sizes, [float(weights[i % len(weights)]) for i in range(len(found))], share, most)
     quota = sainte_lague(targets, round(sum(targets) / block), [int(most * s) // block for s in sizes])
-    plan = [(i, s, n, float(t), q, min(MAX_SHARDS, -(-n // shard_words)) or 1) for i, ((s, n), t, q) in enumerate(zip(found, targets, quota))]
+    plan = [(i, s, n, float(t), q, _shards(n, block)) for i, ((s, n), t, q) in enumerate(zip(found, targets, quota))]
     sources = spark.createDataFrame(plan, "rank int, source string, source_size long, target double, blocks long, shards int")
 
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    rows = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("doc_id", sources["source"], "size", "rank", "source_size", "target", "blocks", F.pmod(key, F.col("shards")).cast("int").alias("shard"), key.alias("draw"))
+    rows = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("doc_id", sources["source"], "size", *more, "rank", "source_size", "target", "blocks", F.pmod(key, F.col("shards")).cast("int").alias("shard"), key.alias("draw"))
     cells = rows.groupBy("rank", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
     quotas = cells.groupBy("rank").applyInPandas(_shard_plan(seed, block), "rank int, shard int, passes long, start long, run long, ring long, block_size long")
     placed = rows.withColumn("end", F.sum("size").over(Window.partitionBy("rank", "shard").orderBy("draw", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)))
@@ -127,7 +137,7 @@ def _mix_sized(sized: DataFrame, weights: Sequence[float], share: float, most: f
     joined = placed.join(quotas, ["rank", "shard"]).withColumns({"arc": in_arc, "wrap": in_wrap})
     # A document that both ends of the arc touch is cut twice; its two ranges are told apart by wrap_to.
     return joined.select(
-        "doc_id", "source", "size", "source_size", "target",
+        "doc_id", "source", "size", "source_size", "target", *more,
         (F.col("passes") * F.col("size") + F.col("arc") + F.col("wrap")).alias("taken"),
         "passes",
         F.when(F.col("arc") > 0, a0 - F.col("begin")).otherwise(F.lit(0)).alias("cut_from"),
@@ -137,19 +147,23 @@ def _mix_sized(sized: DataFrame, weights: Sequence[float], share: float, most: f
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself, with the columns of docs: a document once for each whole pass, and once more for a partial copy. A copy that holds
-    the whole document keeps its text as it is; a cut copy has the taken words joined by one blank, and its n_chars (if there is such a
-    column) counts that text. Documents of which nothing is taken are not in the mix."""
-    taken = mix(docs, **options).select(F.col("doc_id").alias("_mix_id"), "passes", "cut_from", "cut_to", "wrap_from", "wrap_to", F.col("size").alias("_mix_size")).where("passes > 0 or cut_to > cut_from or wrap_to > wrap_from")
-    # Rows that repeat an id carry equal plans only by chance, so one plan per id is used for the copies.
-    plan = taken.groupBy("_mix_id").agg(*[F.first(c).alias(c) for c in ("passes", "cut_from", "cut_to", "wrap_from", "wrap_to", "_mix_size")])
-    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
-    some = lambda x, y: F.concat_ws(" ", F.slice(words, F.col(x).cast("int") + 1, (F.col(y) - F.col(x)).cast("int")))
-    cut = (F.col("cut_to") - F.col("cut_from")) + (F.col("wrap_to") - F.col("wrap_from"))
-    partial = F.when(cut == F.col("_mix_size"), F.col("text")).otherwise(F.concat_ws(" ", F.when(F.col("wrap_to") > F.col("wrap_from"), some("wrap_from", "wrap_to")), F.when(F.col("cut_to") > F.col("cut_from"), some("cut_from", "cut_to"))))
-    copies = F.concat(F.array_repeat(F.col("text"), F.col("passes").cast("int")), F.when(cut > 0, F.array(partial)).otherwise(F.array().cast(T.ArrayType(T.StringType()))))
-    out = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id"))).withColumn("text", F.explode(copies))
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 20, block: int = BLOCK, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """The mix itself, with the columns of docs: a row once for each whole pass, and once more for a partial copy. A copy that holds the
+    whole text keeps it as it is; a cut copy has the taken words joined by one blank, and its n_chars (if there is such a column) counts
+    that text. Rows of which nothing is taken are not in the mix. Rows that repeat an id, or all else, have plans of their own: docs are
+    written with a number for each row, by which plan and row meet."""
+    numbered = written(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-rows")
+    sized = numbered.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), _size(F.col(text_col)).alias("size"), "_mix_row")
+    plan = _mix_sized(sized, weights, share, most, seed, block).where("passes > 0 or cut_to > cut_from or wrap_to > wrap_from")
+    plan = plan.select("_mix_row", F.struct("passes", "cut_from", "cut_to", "wrap_from", "wrap_to", "size").alias("_mix"))
+    m = lambda c: F.col(f"_mix.{c}")
+    text = F.col(text_col)
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    some = lambda x, y: F.concat_ws(" ", F.slice(words, m(x).cast("int") + 1, (m(y) - m(x)).cast("int")))
+    cut = (m("cut_to") - m("cut_from")) + (m("wrap_to") - m("wrap_from"))
+    partial = F.when(cut == m("size"), text).otherwise(F.concat_ws(" ", F.when(m("wrap_to") > m("wrap_from"), some("wrap_from", "wrap_to")), F.when(m("cut_to") > m("cut_from"), some("cut_from", "cut_to"))))
+    copies = F.concat(F.array_repeat(text, m("passes").cast("int")), F.when(cut > 0, F.array(partial)).otherwise(F.array().cast(T.ArrayType(T.StringType()))))
+    out = numbered.join(plan, "_mix_row").withColumn(text_col, F.explode(copies))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -44,3 +44,38 @@ def test_pipeline_stages(spark, docs_of, prose, tmp_path):
     assert left & {3, 200, 201, 202, 203, 204} == {204} and left & {400, 401} == {401}
     assert {4, 300} & {r["doc_id"] for r in seen["near_dedup"]} == {4}
     assert len(seen["mixing"]) == len(seen["sentencepiece"])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["sentencepiece"])
+
+
+def test_pipeline_rows_that_repeat_ids(spark, docs_of, prose, tmp_path):
+    import collections
+
+    import corpus_pipeline
+
+    rude = " vequanto rude"
+    clean = [(i, prose(60, i)) for i in range(40)]
+    texts = [*clean, *[(i, prose(60, 100 + i) + rude) for i in range(40)], *clean[:10], *[(i, prose(60, 1)) for i in range(500, 520)], *[(7, prose(60, 200 + k)) for k in range(5)], (None, prose(60, 300)), (None, prose(60, 301) + rude), (None, None)]
+    docs_of(texts, sources=("a", "b")).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(i % 2)) for i in range(1000, 1100)]
+    more = docs_of([(i, prose(60, i) + rude * (i % 2)) for i in range(1000, 1100)], sources=("a", "b"))
+    more.write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda rows: collections.Counter((r["doc_id"], r["text"]) for r in rows)
+    got = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()
+    assert key(got) == key([r for r in docs.collect() if rude not in (r["text"] or "")])
+    kept = corpus_pipeline.drop_exact(spark, spark.createDataFrame(got, docs.schema), str(tmp_path)).collect()
+    want = collections.defaultdict(list)
+    for r in got:
+        want[r["text"] or ""].append(r["doc_id"])
+    assert sorted((r["text"] or "", str(r["doc_id"])) for r in kept) == sorted((t, str(max((i for i in ids if i is not None), default=None))) for t, ids in want.items())
+    left = corpus_pipeline.drop_near(spark, spark.createDataFrame([*kept, *[r for r in kept if r["doc_id"] == 7]], docs.schema), str(tmp_path)).collect()
+    assert key(left) == key(kept)  # nothing is near, and whole rows that repeat go
+
+
+def test_pipeline_of_an_empty_table(spark, docs_of, tmp_path):
+    import corpus_pipeline
+
+    docs_of([]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import re
 
 from dossierlake.llm import bagminhash, exact_dedup, mixing
 from dossierlake.llm.exact_dedup import PatriciaTrie
@@ -35,6 +36,10 @@ def test_exact_dedup_against_brute_force(docs_of):
     assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["text_sha256"]) for r in rows) == want
     assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in rows)
     assert exact_dedup.exact_dedup(docs_of([])).count() == 0
+    once = exact_dedup.one_of_each(docs_of(texts), keep="max")
+    assert once.columns == docs_of([]).columns
+    assert sorted((t or "", str(i)) for i, t in ((r["doc_id"], r["text"]) for r in once.collect())) == sorted((t, str(max((x for x in ids if x is not None), default=None))) for t, ids in groups.items())
+    assert exact_dedup.one_of_each(docs_of([])).count() == 0
 
 
 def _shingles(text):
@@ -119,6 +124,10 @@ def test_mix_meets_targets(docs_of, prose):
     assert abs(sum(target.values()) - 1.5 * sum(sizes.values())) < 1e-6 * sum(sizes.values())
     assert all(abs(taken[s] - target[s]) <= 3 * mixing.BLOCK for s in target)
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
-    words = sum(len((r["text"] or "").split()) for r in mixing.mixed_documents(docs).where("doc_id >= 10").collect())
-    assert words == sum(r["taken"] for r in rows if (r["doc_id"] or 0) >= 10)
+    of = lambda rows, size: collections.Counter({i: sum(size(r) for r in rows if str(r["doc_id"]) == i) for i in {str(r["doc_id"]) for r in rows}})
+    n_words = lambda t: len([w for w in re.split("[ \t\n\x0b\x0c\r]+", t or "") if w])
+    for twice in (docs, docs.union(docs), docs.union(docs).repartition(5)):  # ids and whole rows that repeat
+        got = mixing.mixed_documents(twice)
+        assert got.columns == docs.columns
+        assert +of(got.collect(), lambda r: n_words(r["text"])) == +of(mixing.mix(twice).collect(), lambda r: r["taken"])
     assert mixing.mix(docs_of([])).count() == 0
