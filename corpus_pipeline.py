@@ -1,5 +1,6 @@
 """The corpus pipeline: stages that each keep what the next one reads. Every stage takes (spark, docs, sf_dir) and returns a DataFrame;
-all but the last return the columns of documents."""
+all but the last return the columns of documents. Decisions belong to rows: rows that repeat an id are told apart by their texts, and null
+ids are an id like any other. An empty table stays empty."""
 
 from __future__ import annotations
 
@@ -7,30 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossierlake.llm import bagminhash, exact_dedup, mixing, sentencepiece_codec, toxicity
-from dossierlake.llm.common import written
+from dossierlake.llm.common import remove, written
 from dossierlake.llm.queries import vocabulary
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids (one column, doc_id; null meets null)."""
-    keep = ids.select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score rejects go. The labels of `labels` train it, as in the operator's own query."""
-    scored = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _kept(docs, scored.where("predicted = 0").select("doc_id"))
+    trained = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.scored_rows(docs, trained).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays: the one with the largest doc_id."""
-    return _kept(docs, exact_dedup.exact_dedup(docs, keep="max").where("kept").select("doc_id"))
+    return exact_dedup.one_of_each(docs, keep="max")
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays: the one with the smallest doc_id."""
-    return _kept(docs, bagminhash.near_dedup(docs).where("kept").select("doc_id"))
+    return bagminhash.one_of_each_class(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet into the shared folder and read back for the next one."""
+    """All stages over documents, each written as Parquet into the shared folder and read back for the next one; what no later stage reads
+    is removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"pipeline-{name}")
+            remove(before)
     return docs
