@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 # HTML element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp template noembed noframes svg math select object canvas audio video".split())
+RAW = frozenset("script style textarea title".split())
+SKIPPED = frozenset("noscript iframe xmp template noembed noframes svg math select object canvas audio video".split())
 BLOCK = frozenset(
     "address article aside blockquote body br button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -59,11 +60,42 @@ def _opened(tag: str) -> tuple[str, tuple[str, ...], bool]:
     return name, hints, name in VOID
 
 
+class _Ends:
+    """Where elements without main text end, by where their start tag ends: at the end tag that matches it, nested ones counted. A start tag
+    that no end tag matches has no end: it is passed over alone, so that nothing after it is lost. Each name's tags are looked up once."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.found = page, {}
+
+    def __call__(self, name: str, at: int) -> int | None:
+        if name not in self.found:
+            ends, open_ = {}, []
+            for m in re.finditer(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", self.page, re.I):
+                if m.group(1):
+                    if open_:
+                        ends[open_.pop()] = m.end()
+                elif not m.group(0).endswith("/>"):
+                    open_.append(m.end())
+            self.found[name] = ends
+        return self.found[name].get(at)
+
+
 def parse(page: str) -> list[Node]:
-    """All nodes, parents first, in page order. Bad markup never fails: stray end tags are passed over, open elements end with the page."""
+    """All nodes, parents first, in page order. Bad markup never fails: stray end tags are passed over, open elements end with the page, a
+    script, style, text area or title without end tag takes the rest of the page, as in browsers."""
     root = Node("#root", None)
     nodes, top, at, n = [root], root, 0, len(page)
-    match = _TOKEN.match
+    match, ends, open_ = _TOKEN.match, _Ends(page), Counter()
+
+    def close(to: Node) -> Node:
+        """Closes all open elements up to `to` with it; the new innermost one."""
+        x = top
+        while x is not to:
+            open_[x.tag] -= 1
+            x = x.parent  # type: ignore[assignment]
+        open_[to.tag] -= 1
+        return to.parent or root
+
     while at < n:
         m = match(page, at)
         token, at = m.group(0), m.end()  # type: ignore[union-attr]
@@ -72,40 +104,43 @@ def parse(page: str) -> list[Node]:
                 nodes.append(Node("#text", top, (), token))
         elif token[1] == "/":
             name = _NAME.match(token).group(1).lower()  # type: ignore[union-attr]
-            x: Node | None = top
-            while x is not root and x.tag != name:  # type: ignore[union-attr]
-                x = x.parent  # type: ignore[union-attr]
-            if x is not root and x is not None:
-                top = x.parent or root
+            if open_[name] > 0:  # else a stray one: no need to look for what it closes
+                x = top
+                while x.tag != name:
+                    x = x.parent  # type: ignore[assignment]
+                top = close(x)
         elif token[1] in "!?":
             continue
         else:
             name, hints, void = _opened(token)
             if name in ("html", "body") and any(c.tag == name for c in nodes[:40]):
                 continue
-            if name in CLOSES_P or name == "p":
+            if (name in CLOSES_P or name == "p") and open_["p"] > 0:
                 x = top
                 while x is not root and x.tag not in ("p", "td", "th", "button", "table", "li", "div", "article", "section"):
                     x = x.parent  # type: ignore[assignment]
                 if x.tag == "p":
-                    top = x.parent or root
-            elif name in SAME:
-                x, close = top, None
+                    top = close(x)
+            elif name in SAME and any(open_[t] > 0 for t in SAME[name]):
+                x, to = top, None
                 while x is not root and x.tag not in WALLS[name]:
                     if x.tag in SAME[name]:
-                        close = x
+                        to = x
                     x = x.parent  # type: ignore[assignment]
-                if close is not None:
-                    top = close.parent or root
-            if name in RAW:
-                if not token.endswith("/>"):
-                    end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+                if to is not None:
+                    top = close(to)
+            if name in RAW or name in SKIPPED:
+                if name in RAW and not token.endswith("/>"):
+                    end = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
                     at = end.end() if end else n
+                elif name in SKIPPED:
+                    at = ends(name, at) or at
                 continue
             node = Node(name, top, hints)
             nodes.append(node)
             if not void and not (token.endswith("/>") and name not in BLOCK):
                 top = node
+                open_[name] += 1
     return nodes
 
 
