@@ -18,12 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dossierlake.llm.common import written
+from dossierlake.llm.common import remove, written
 
 #: Neighbours of a node in the graph; reverse ones in a round; nodes of a starting block; rounds; width of the search; queries of a block.
 NEIGHBOURS, REVERSE, BLOCK, STARTS, ROUNDS, EF, QUERIES = 20, 20, 256, 3, 6, 768, 4096
-#: A search opens at most so many rounds; it ends by itself long before.
-MOST_HOPS = 40
 
 _EDGES = "node long, near array<long>, dist array<float>"
 
@@ -172,7 +170,9 @@ def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, reverse: int = REVERSE, r
         members = forward.unionByName(back).join(codes.withColumnRenamed("node", "id"), "id").join(graph.select(F.col("node").alias("id"), F.coalesce(F.element_at("dist", -1), F.lit(float("inf"))).cast("float").alias("far")), "id")
         hubs = members.groupBy("hub").agg(F.collect_list(F.struct("id", "code", "scale", "far")).alias("m")).select("m")
         told = hubs.mapInArrow(_local_join(k), _EDGES)
-        graph = written(_merge(graph.unionByName(told), k), "graph")
+        last, graph = graph, written(_merge(graph.unionByName(told), k), "graph")
+        remove(last)
+    remove(codes)
     return graph
 
 
@@ -264,14 +264,15 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, width: int =
         shared = spark.sparkContext.broadcast((np.array([r["query"] for r in table], np.int64), np.array([r["vector"] for r in table], float)))
         first = some.groupBy("node").agg(F.collect_list("query").alias("queries"))
         beam = written(_beam(None, _opened(first, vectors, shared, width), width), "beam")
-        for _ in range(MOST_HOPS):
+        while True:  # what falls out of a beam is farther than all in it and never returns, so there is an end
             todo = beam.select("query", F.explode(F.arrays_zip("near", "open")).alias("e")).where("e.open").select(F.col("e.near").alias("node"), "query")
             if todo.isEmpty():
                 break
             by_node = todo.groupBy("node").agg(F.collect_list("query").alias("queries"))
             hop = by_node.join(out_of, "node").select(F.explode("to").alias("node"), "queries").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("queries"))).alias("queries"))
             shut = beam.withColumn("open", F.transform("open", lambda _: F.lit(False)))
-            beam = written(_beam(shut, _opened(hop, vectors, shared, width), width), "beam")
+            last, beam = beam, written(_beam(shut, _opened(hop, vectors, shared, width), width), "beam")
+            remove(last)
         results.append(beam.select("query", F.explode(F.arrays_zip("near", "dist")).alias("e")).select("query", F.col("e.near").alias("node"), F.col("e.dist").alias("dist")))
     if not results:
         return spark.createDataFrame([], "query long, node long, dist double")
