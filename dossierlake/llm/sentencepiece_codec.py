@@ -20,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -396,8 +397,6 @@ def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
 
 def encode_column(spark: SparkSession, text: Column, model_path: str) -> Column:
     """The ids of a text column as array<int>, with the end id."""
-    import pandas as pd
-
     shared = spark.sparkContext.broadcast(model_bytes(model_path))
 
     @F.pandas_udf("array<int>")
@@ -410,8 +409,6 @@ def encode_column(spark: SparkSession, text: Column, model_path: str) -> Column:
 
 def decode_column(spark: SparkSession, ids: Column, model_path: str) -> Column:
     """The text of an id array; a null array gives the empty text."""
-    import pandas as pd
-
     shared = spark.sparkContext.broadcast(model_bytes(model_path))
 
     @F.pandas_udf("string")

@@ -24,6 +24,19 @@ def test_search_against_brute_force(spark):
     assert sorted((r["query_id"], r["vec_id"]) for r in few) == [(0, 1), (0, 2)]
 
 
+def test_recall_with_a_beam_far_below_the_table(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((6000, 24))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(table, every=200, k=10, width=150).collect()
+    hits = 0
+    for q in range(0, 6000, 200):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.argsort(d)[:10].tolist()))
+    assert len(got) == 300 and hits >= 0.9 * 300
+
+
 def test_pipeline_stages(spark, docs_of, prose, tmp_path):
     import corpus_pipeline
 

@@ -107,6 +107,62 @@ def test_main_text(spark):
     assert got[2]["text"] == ""
 
 
+def test_elements_without_end_lose_nothing():
+    import time
+
+    model = html_extract.train(120, 3, 80)
+    body = "".join(f"<p>Paragraph {i} tells a story of many words, and it ends here.</p>" for i in range(4))
+    want = " ".join(f"Paragraph {i} tells a story of many words, and it ends here." for i in range(4))
+    said = lambda x: html_extract.main_text(model, f"<html><body><article>{x}</article></body></html>")
+    for tag in ("svg", "object", "video", "select", "iframe", "noscript", "canvas"):
+        assert said(f"<{tag}>{body}") == want, tag
+        assert said(f"<{tag}><g><{tag}>inner words</{tag}>more</g></{tag}>{body}") == want, tag
+    assert said(f"<script>var x = '<p>no</p>';</script>{body}<style>p {{}}") == want
+    # Stray end tags and open elements by the thousand, in time that grows with the page.
+    began = time.time()
+    for page in ("<b>" * 40_000 + "</i>" * 40_000, "<svg>" * 40_000 + "x", "<b>" * 20_000 + "<h1>x</h1>" * 20_000, "<p>" * 40_000, "<li>x" * 40_000, "</p>" * 40_000):
+        html_extract.parse(page)
+    assert time.time() - began < 20
+
+
+def test_empty_tables(spark, docs_of, tmp_path):
+    nothing = docs_of([])
+    with open(tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    token_store.write_store(nothing, f"{tmp_path}/store", definition)
+    assert token_store.read_digests(spark, f"{tmp_path}/store").collect() == []
+    assert token_store.read_ids(spark, f"{tmp_path}/store").collect() == []
+    assert token_store.verify(spark, f"{tmp_path}/store")
+    assert sentencepiece_codec.encode_digests(nothing, str(tokenizers.path("piece_bpe_32k.model"))).collect() == []
+    assert toxicity.toxicity(nothing, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).collect() == []
+    assert license_scan.licence_scan(nothing).collect() == []
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_long_tokens_take_linear_time():
+    import time
+
+    began = time.time()
+    restorer = toxicity.Restorer(toxicity.CharacterModel({}))
+    for token in ("x" + "." * 300_000 + "x1", "_" * 100_000 + "(", "a_" * 50_000 + "(", "1d10t" * 20_000, "!" * 200_000 + "a", "." * 200_000):
+        restorer.words_of(token)
+        list(restorer.spelled(token))
+    assert time.time() - began < 60
+
+
+def test_columns_of_ids_and_texts(spark):
+    import sentencepiece
+
+    path = str(tokenizers.path("piece_bpe_32k.model"))
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["hello world", "", None, "日本語 x"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    ids = rows.select("t", sentencepiece_codec.encode_column(spark, rows["t"], path).alias("ids"))
+    got = ids.select("t", "ids", sentencepiece_codec.decode_column(spark, ids["ids"], path).alias("back")).collect()
+    assert [r["ids"] for r in got] == [library.encode(t or "", add_eos=True) for t in texts]
+    assert [r["back"] for r in got] == [t or "" for t in texts]
+
+
 def test_messages_equal_enumeration():
     import itertools
 
