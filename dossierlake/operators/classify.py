@@ -20,6 +20,18 @@ def summary(flags: DataFrame) -> DataFrame:
     return flags.agg(F.count("*").alias("originals"), F.count_if(F.col("flag") == "YES").alias("yes"), F.count_if(F.col("flag") == "Possible").alias("possible"), F.count_if(F.col("flag") == "NO").alias("clean"))
 
 
+def scan_summary(records: DataFrame, flags: DataFrame) -> DataFrame:
+    """originals, yes, possible, errors, total_altered, revisions, clean from records (path, status, is_revision) and (path, flag). Files with
+    errors count as originals."""
+    rows = records.join(flags.select("path", "flag"), "path", "left")
+    own = ~F.col("is_revision")
+    out = rows.agg(
+        F.count_if(own).alias("originals"), F.count_if(own & (F.col("flag") == "YES") & (F.col("status") == "success")).alias("yes"), F.count_if(own & (F.col("flag") == "Possible") & (F.col("status") == "success")).alias("possible"),
+        F.count_if(own & (F.col("status") == "error")).alias("errors"), F.count_if(F.col("is_revision")).alias("revisions"),
+    )
+    return out.withColumn("total_altered", F.col("yes") + F.col("possible")).withColumn("clean", F.col("originals") - F.col("yes") - F.col("possible") - F.col("errors"))
+
+
 def free_text(rows: DataFrame, term: str, *columns: str) -> DataFrame:
     """Rows one of whose columns holds the term, whatever its case."""
     return rows.where(F.contains(F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns])), F.lit(term.lower())))

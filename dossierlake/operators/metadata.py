@@ -93,3 +93,54 @@ def timestamp_mismatch(files: DataFrame, path_col: str = "path", text_col: str =
         F.when(gap("c", "m") > seconds, F.struct(F.lit("spoofed").alias("kind"), gap("c", "m").alias("seconds"))),
     ))
     return d.select("path", F.explode(found).alias("x")).select("path", "x.*")
+
+
+# Names of software, matched anywhere in a value, that make a CreatorTool count.
+SOFTWARE = (
+    "abbey abbyy acrobat adobe apache birt billy bluebeam bullzip businesscentral cairo canva chrome chromium clibpdf collabora cups cutepdf deskpdf dinero dynamics ecopy economic edge eboks evince excel firefox "
+    "finereader formpipe foxit fpdf framemaker gdoc ghostscript ghostview gimp helpndoc illustrator ilovepdf imagemagick indesign inkscape itext javelin jasperreports karbon kmd lasernet latex libharu libreoffice "
+    "luatex mathcad microsoft mobipocket mupdf navision netcompany nitro okular office openoffice openpdf paperport pagestream pageplus pdf24 pdfarranger pdfbox pdfcreator pdfedit pdfescape pdfgear pdflatex "
+    "pdfjs pdfsam pdfsharp pdfstudio pdftk pdfxchange photoshop poppler powerpoint pstoedit primopdf prince qpdf qiqqa quartz reportlab revu safari scribus serif skim skia smallpdf sodapdf solidconverter "
+    "stdu sumatra swftools tcpdf tex utopia visma word wkhtml wkhtmltopdf xara xetex xpdf"
+).split()
+
+
+def is_software(value: Column) -> Column:
+    return value.rlike("(?i)" + "|".join(SOFTWARE))
+
+
+def tools(meta_lines: DataFrame) -> DataFrame:
+    """path, producer_pdf, producer_xmp (each filled from the other), softwareagent, application, software, creatortool (only of known
+    software), xmptoolkit, create_tool, modify_tool: first values that are not empty."""
+    tag, group, value = F.regexp_replace(F.lower("tag"), " ", ""), F.lower(F.trim("group")), F.trim("value")
+    pick = lambda holds: F.min_by(F.when(holds & (value != ""), value), F.when(holds & (value != ""), F.col("line_no")))
+    out = meta_lines.groupBy("path").agg(
+        pick((tag == "producer") & (group == "pdf")).alias("p"), pick((tag == "producer") & group.isin("xmp-pdf", "xmp_pdf")).alias("x"),
+        *[pick(tag == t).alias(t) for t in ("softwareagent", "application", "software", "xmptoolkit")], pick((tag == "creatortool") & is_software(value)).alias("creatortool"),
+    )
+    out = out.select("path", F.coalesce("p", "x").alias("producer_pdf"), F.coalesce("x", "p").alias("producer_xmp"), "softwareagent", "application", "software", "creatortool", "xmptoolkit")
+    create = F.coalesce("producer_pdf", "producer_xmp", "application", "software", "creatortool", F.lit(""))
+    return out.withColumn("create_tool", create).withColumn("modify_tool", F.coalesce("softwareagent", "create_tool"))
+
+
+def history_events(meta_lines: DataFrame) -> DataFrame:
+    """path, line_no, k, ts, action, agent, changed: blocks {Action=.., When=.., ..} of History lines with a date that can be read."""
+    rows = meta_lines.where("group = 'XMP-xmpMM' and tag = 'History'").select("path", "line_no", F.posexplode(F.regexp_extract_all("value", F.lit(r"\{([^}]+)\}"), F.lit(1))).alias("k", "block"))
+    field = lambda name: F.nullif(F.trim(F.regexp_extract("block", rf"(?:^|,)\s*{name}\s*=([^,]*)", 1)), F.lit(""))
+    when = field("When")
+    rows = rows.select("path", "line_no", "k", when.alias("said"), F.try_to_timestamp(when).alias("ts"), field("Action").alias("action"), field("SoftwareAgent").alias("agent"), field("Changed").alias("changed"))
+    return rows.where("ts is not null").withColumn("is_aware", F.col("said").rlike(r"(?:Z|[+-]\d{2}:?\d{2})$"))
+
+
+def metadata_text(wide: DataFrame) -> DataFrame:
+    """path, meta: the built-in producer of metadata lines `[Group] Tag : value` from the information dictionary and the packet of parsed
+    files. A file without either has an empty text."""
+    t = F.col("text")
+    date = lambda c: F.regexp_replace(c, r"^D:(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})(?:([+-]\d{2})'?(\d{2})'?|(Z))?.*$", "$1:$2:$3 $4:$5:$6$7:$8$9")
+    neat = lambda c: F.regexp_replace(F.regexp_replace(date(c), r"(\d):$", "$1"), r"(\d):Z$", "$1Z")
+    info = {"Producer": "Producer", "Creator": "Creator", "Author": "Author", "Title": "Title", "CreationDate": "Create Date", "ModDate": "Modify Date"}
+    rows = [F.when(F.try_element_at("info", F.lit(k)) != "", F.concat(F.lit(f"[PDF] {v} : "), neat(F.try_element_at("info", F.lit(k))))) for k, v in info.items()]
+    xmp = {"xmp:CreatorTool": ("XMP-xmp", "Creator Tool"), "xmp:CreateDate": ("XMP-xmp", "Create Date"), "xmp:ModifyDate": ("XMP-xmp", "Modify Date"), "xmp:MetadataDate": ("XMP-xmp", "Metadata Date"), "pdf:Producer": ("XMP-pdf", "Producer"), "xmpMM:DocumentID": ("XMP-xmpMM", "Document ID"), "xmpMM:InstanceID": ("XMP-xmpMM", "Instance ID"), "xmpMM:OriginalDocumentID": ("XMP-xmpMM", "Original Document ID"), "x:xmptk": ("XMP-x", "XMP Toolkit")}
+    iso = lambda c: F.regexp_replace(c, r"^(\d{4})-(\d{2})-(\d{2})T(\d{2}:\d{2}:\d{2})", "$1:$2:$3 $4")
+    rows += [F.when(first_group(t, _tag(k)).isNotNull(), F.concat(F.lit(f"[{g}] {v} : "), iso(first_group(t, _tag(k))))) for k, (g, v) in xmp.items()]
+    return wide.select("path", F.array_join(F.array_compact(F.array(*rows)), "\n").alias("meta"))

@@ -47,9 +47,40 @@ def dominant(items: DataFrame, group: str, value: str, order: str, share: float,
 
 def number_report(parents: DataFrame, children: DataFrame) -> DataFrame:
     """row_id, path, parent_id: parents (path, place) in order, each followed by its children (path, original_path) by path; children without
-    a parent come last. Numbers run from 1."""
+    a parent come last. Numbers run from 1. Rows are sorted by ranges, and a row's number is its place in its range after the rows of the
+    ranges before, so no task sees all rows."""
     p = parents.select("path", F.lit(None).cast("string").alias("original_path"), "place", F.lit(0).alias("is_child"))
     c = children.join(parents.select(F.col("path").alias("original_path"), "place"), "original_path", "left").select("path", "original_path", "place", F.lit(1).alias("is_child"))
-    rows = p.unionByName(c).withColumn("row_id", F.row_number().over(Window.orderBy(F.col("place").asc_nulls_last(), "is_child", "path")))
+    order = [F.col("place").asc_nulls_last(), F.col("is_child").asc(), F.col("path").asc()]
+    rows = p.unionByName(c).repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("k"))
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("k").alias("first"))  # a row a range
+    before = sizes.select("part", "first", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    rows = rows.join(F.broadcast(before), "part").withColumn("row_id", (F.col("before") + F.col("k") - F.col("first") + 1).cast("long"))
     heads = rows.where("is_child = 0").select(F.col("path").alias("original_path"), F.col("row_id").alias("parent_id"))
     return rows.join(heads, "original_path", "left").select("row_id", "path", "parent_id")
+
+
+def found_locally(related: DataFrame, ids: DataFrame) -> DataFrame:
+    """path of files one of whose related ids (path, id) some file owns. Ids are compared as they are, so one with a prefix meets none."""
+    return related.select("path", "id").distinct().join(ids.where("kind = 'own'").select("id").distinct(), "id", "left_semi").select("path").distinct()
+
+
+def remapped(rows: DataFrame, paths: DataFrame, *columns: str) -> DataFrame:
+    """rows with the paths of columns replaced by (old, new); those without a new one stay."""
+    for c in columns:
+        rows = rows.join(paths.select(F.col("old").alias("_old"), F.col("new").alias("_new")), F.col(c) == F.col("_old"), "left").withColumn(c, F.coalesce("_new", c)).drop("_old", "_new")
+    return rows
+
+
+def looked_up(files: DataFrame, *sides: tuple[DataFrame, str]) -> DataFrame:
+    """files with a text of each side (path, that column); empty where a side has none."""
+    for side, name in sides:
+        files = files.join(side.select("path", name), "path", "left").withColumn(name, F.coalesce(name, F.lit("")))
+    return files
+
+
+def sorted_by(rows: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """Rows by a column: numbers by value, all others as text."""
+    c = F.col(column) if column == "id" else F.col(column).cast("string")
+    c = c.cast("long") if column == "id" else c
+    return rows.orderBy(c.desc() if descending else c.asc())

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,15 @@ def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
 
 
+def empty_files(files: DataFrame) -> DataFrame:
+    """path, content (null) of the files of a binaryFile table that hold nothing: the source passes them over when it reads, but lists them.
+    The list of names is on the driver already, as the source's index."""
+    spark = files.sparkSession
+    plain = lambda p: re.sub(r"^file:/+", "file:/", unquote(p))
+    listed = spark.createDataFrame([(plain(p),) for p in files.inputFiles()], "path string")
+    return listed.join(files.select("path"), "path", "left_anti").select("path", F.lit(None).cast("binary").alias("content"))
+
+
 def readable(files: DataFrame, most: int = MAX_BYTES) -> DataFrame:
     """Files within the size limit; the filter reaches the source, so larger ones are never opened."""
     return files.where(F.col("length") <= most)
