@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from dossierlake.functions import contacts, scalars, text_rules
 from dossierlake.operators import classify, custody, relations, timeline
+from dossierlake.plans import findings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -447,3 +448,7 @@ def text_indicators(spark, sf_dir):
     """All text rules over the documents as scan text."""
     rules = text_rules.text_rules(contacts.top_level_domains(spark), F.lit("2024-01-01").cast("timestamp"))
     return text_rules.indicators(_t(spark, sf_dir, "documents"), "doc_id", "text", rules)
+
+
+QUERIES |= findings.QUERIES
+ORACLES |= findings.ORACLES
