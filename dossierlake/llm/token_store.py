@@ -262,41 +262,43 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([*[tuple(r) for r in parts], top], _MANIFEST)
 
 
-def _zeros(times: int) -> list[int]:
-    """The crc32 register's change by `times` zero bytes as a 32 by 32 bit matrix (columns), by squaring."""
-    step = [0xEDB88320, *(1 << i for i in range(31))]  # one zero bit
-    power = step
-    for _ in range(3):
-        power = [_apply(power, c) for c in power]
-    out: list[int] | None = None
-    while times:
-        if times & 1:
-            out = power if out is None else [_apply(power, c) for c in out]
-        power = [_apply(power, c) for c in power]
-        times >>= 1
-    return out or [1 << i for i in range(32)]
-
-
-def _apply(matrix: list[int], x: int) -> int:
-    out, i = 0, 0
-    while x:
-        if x & 1:
-            out ^= matrix[i]
-        x >>= 1
-        i += 1
+def _tables(most: int = 48) -> np.ndarray:
+    """What 2^k zero bytes do to a crc32 register, k below `most`: it is linear over bits, so a register's four bytes are looked up apart and
+    joined by exclusive or. Shape (most, 4, 256)."""
+    out = np.zeros((most, 4, 256), np.uint32)
+    columns = np.array([0xEDB88320, *(1 << i for i in range(31))], np.uint32)  # one zero bit
+    values = np.arange(256)
+    for k in range(-3, most):  # from one bit to a byte by doubling, then on
+        table = np.zeros((4, 256), np.uint32)
+        for i in range(32):
+            table[i // 8, (values >> (i % 8)) & 1 == 1] ^= columns[i]
+        if k >= 0:
+            out[k] = table
+        columns = _looked_up(table, columns)
     return out
 
 
-_shifts: dict[int, list[int]] = {}
+def _looked_up(table: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return table[0][x & 255] ^ table[1][(x >> 8) & 255] ^ table[2][(x >> 16) & 255] ^ table[3][x >> 24]
+
+
+_shift_tables: list[np.ndarray] = []
+
+
+def crc32_shift(crcs: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """crc32 registers after so many further zero bytes each."""
+    if not _shift_tables:
+        _shift_tables.append(_tables())
+    x = crcs.astype(np.uint32)
+    for k in range(int(n_bytes.max(initial=0)).bit_length()):
+        at = np.flatnonzero((n_bytes >> k) & 1)
+        x[at] = _looked_up(_shift_tables[0][k], x[at])
+    return x
 
 
 def crc32_join(a: int, b: int, b_bytes: int) -> int:
     """crc32 of two byte strings in a row from their own."""
-    if b_bytes not in _shifts:
-        if len(_shifts) > 20_000:
-            _shifts.clear()
-        _shifts[b_bytes] = _zeros(b_bytes)
-    return _apply(_shifts[b_bytes], a) ^ b
+    return int(crc32_shift(np.array([a], np.uint32), np.array([b_bytes]))[0]) ^ b
 
 
 def _ids_of(data: bytes, n: int) -> np.ndarray:
@@ -328,16 +330,25 @@ def _steps(recipes: DataFrame) -> DataFrame:
     return recipes.where("octet_length(digests) > 0").select("seq", "n_tokens", "root", F.posexplode(F.transform(at, lambda i: F.col("digests").substr(i * 32 + 1, F.lit(32)))).alias("at", "digest"))
 
 
-def _joined(steps: pd.Series) -> pd.DataFrame:
-    out = []
-    for row in steps:
-        n, crc, digests = 0, 0, []
-        for s in row:
-            crc = crc32_join(crc, s["crc"], 4 * s["n_ids"])
-            n += s["n_ids"]
-            digests.append(bytes(s["digest"]))
-        out.append((n, crc, merkle_root(digests)))
-    return pd.DataFrame(out, columns=["n_ids", "crc", "root"])
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(seq, n, said, steps in order) to (seq, crc): a document's crc32 is the exclusive or of those of its chunks, each shifted by the bytes
+    that follow it. Fails if the chunks do not give the document's length and root."""
+    for b in batches:
+        for low in range(0, b.num_rows, 1024):
+            part = b.slice(low, 1024)
+            steps = part.column(3)
+            ends = steps.offsets.to_numpy() - steps.offsets[0].as_py()
+            flat = steps.flatten()
+            sizes, crcs, digests = flat.field("n_ids").to_numpy().astype(np.int64) * 4, flat.field("crc").to_numpy(), flat.field("digest").to_pylist()
+            upto = np.concatenate([[0], np.cumsum(sizes)])
+            n = np.diff(ends)
+            shifted = crc32_shift(crcs, np.repeat(upto[ends[1:]], n) - upto[1:])
+            joined = np.bitwise_xor.reduceat(shifted, ends[:-1])  # no document here is without chunks
+            whole = upto[ends[1:]] - upto[ends[:-1]]
+            for said_n, said, own, x, y in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), whole.tolist(), ends.tolist(), ends[1:].tolist()):
+                if own != 4 * said_n or merkle_root(digests[x:y]) != said:
+                    raise ValueError("a document differs from its recipe")
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(joined.astype(np.int64), pa.int64())], ["seq", "crc"])
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -349,9 +360,8 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     recipes = spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
     chunks = _chunks(spark, path).mapInArrow(_checked, "digest binary, n_ids int, crc long")
     steps = _steps(recipes).join(chunks, "digest", "left")
-    sums = steps.groupBy("seq").agg(F.first("n_tokens").alias("n"), F.first("root").alias("said"), F.array_sort(F.collect_list(F.struct("at", "n_ids", "crc", "digest"))).alias("steps")).withColumn("got", F.pandas_udf(_joined, "struct<n_ids:long,crc:long,root:binary>")("steps"))
-    good = (F.col("got.n_ids") == F.col("n")) & (F.col("got.root") == F.col("said"))
-    sums = sums.select("seq", F.when(good, F.col("got.crc")).otherwise(F.raise_error(F.lit("a document differs from its recipe")).cast("long")).alias("crc"))
+    sums = steps.groupBy("seq").agg(F.first("n_tokens").alias("n"), F.first("root").alias("said"), F.array_sort(F.collect_list(F.struct("at", F.coalesce("n_ids", F.lit(0)).alias("n_ids"), F.coalesce("crc", F.lit(0)).alias("crc"), "digest"))).alias("steps"))
+    sums = sums.select("seq", "n", "said", "steps").mapInArrow(_joined, "seq long, crc long")
 
     totals = recipes.groupBy("part").agg(F.sum("n_tokens").alias("in_part"))  # a row per file
     before = totals.select("part", (F.sum("in_part").over(Window.orderBy("part")) - F.col("in_part")).alias("before"))
