@@ -53,6 +53,44 @@ TEMPLATES: dict[str, list[str]] = {
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC-SA 4.0.", "Creative Commons Attribution-NonCommercial 4.0 International"],
     "Public-Domain": ["This is free and unencumbered software released into the public domain.", "Dedicated to the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0", "This work is in the public domain."],
     "Proprietary": ["All rights reserved.", "Copyright 2021 Example Corporation. All rights reserved.", "This software is proprietary and confidential."],
+    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-or-later", "Released under the GNU AGPL v3."],
+    "ISC": [
+        "Released under the ISC License.", "SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    ],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0", "Licensed under the Boost Software License 1.0."],
+    "EUPL-1.2": ["Licensed under the EUPL, Version 1.2.", "SPDX-License-Identifier: EUPL-1.2", "Licensed under the European Union Public Licence 1.2."],
+    "EPL-2.0": ["This program is made available under the terms of the Eclipse Public License 2.0.", "SPDX-License-Identifier: EPL-2.0", "Released under the Eclipse Public License."],
+    "CDDL-1.0": ["Licensed under the Common Development and Distribution License, version 1.0.", "SPDX-License-Identifier: CDDL-1.0", "Released under the CDDL."],
+    "Unlicense": ["Released under the Unlicense.", "SPDX-License-Identifier: Unlicense", "For more information, please refer to http://unlicense.org"],
+    "Zlib": [
+        "Released under the zlib License.", "SPDX-License-Identifier: Zlib", "This software is provided as-is, without any express or implied warranty, and altered source versions must be plainly marked as such.",
+    ],
+    "WTFPL": ["Do What The Fuck You Want To Public License", "SPDX-License-Identifier: WTFPL", "Released under the WTFPL."],
+    "Artistic-2.0": ["Licensed under the Artistic License 2.0.", "SPDX-License-Identifier: Artistic-2.0", "Released under the terms of the Perl Artistic License."],
+    "PSF-2.0": ["Licensed under the Python Software Foundation License Version 2.", "SPDX-License-Identifier: PSF-2.0", "Released under the PSF license."],
+    "OFL-1.1": ["This Font Software is licensed under the SIL Open Font License, Version 1.1.", "SPDX-License-Identifier: OFL-1.1", "Released under the SIL OFL."],
+    "MS-PL": ["Licensed under the Microsoft Public License.", "SPDX-License-Identifier: MS-PL", "Released under the Microsoft Public License (Ms-PL)."],
+    "MS-RL": ["Licensed under the Microsoft Reciprocal License.", "SPDX-License-Identifier: MS-RL", "Released under the Microsoft Reciprocal License (Ms-RL)."],
+    "CC-BY-ND": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "Licensed under CC BY-NC-ND 4.0."],
+    "GFDL": ["Permission is granted to copy this document under the terms of the GNU Free Documentation License.", "SPDX-License-Identifier: GFDL-1.3-or-later", "Released under the GNU FDL."],
+    "ODbL-1.0": ["This database is made available under the Open Database License.", "SPDX-License-Identifier: ODbL-1.0", "Licensed under the ODbL."],
+    "PostgreSQL": ["Released under the PostgreSQL License.", "SPDX-License-Identifier: PostgreSQL", "Licensed under the PostgreSQL Licence."],
+    "AFL-3.0": ["Licensed under the Academic Free License version 3.0.", "SPDX-License-Identifier: AFL-3.0", "Released under the Academic Free License."],
+    "OSL-3.0": ["Licensed under the Open Software License version 3.0.", "SPDX-License-Identifier: OSL-3.0", "Released under the Open Software License."],
+}
+# Notices that the temperature is fitted on, none of which the regression sees.
+CALIBRATION: dict[str, list[str]] = {
+    "MIT": ["The code is distributed under the MIT license, see LICENSE.", "License: MIT"], "Apache-2.0": ["License: Apache 2.0", "Distributed under the Apache License 2.0."],
+    "GPL-3.0": ["The code is GNU GPL version 3 or later.", "License: GPL-3.0"], "GPL-2.0": ["The code is GNU GPL version 2 only.", "License: GPL-2.0"], "LGPL": ["License: LGPL", "The library is under the GNU Lesser GPL."],
+    "BSD": ["License: BSD", "Use of this source code is governed by a BSD-style license."], "MPL-2.0": ["License: MPL 2.0", "The file is under the Mozilla Public License."], "CC-BY": ["Text is under CC BY 4.0.", "The photos are under a Creative Commons Attribution license."],
+    "CC-BY-NC": ["Text is under CC BY-NC 4.0.", "The photos are under a Creative Commons NonCommercial license."], "Public-Domain": ["To the extent possible the authors waive all rights under CC0.", "The file is placed in the public domain."],
+    "Proprietary": ["Proprietary and confidential.", "No part may be copied, all rights are reserved."], "AGPL-3.0": ["License: AGPL"], "ISC": ["License: ISC"], "BSL-1.0": ["License: Boost"], "EUPL-1.2": ["License: EUPL"], "EPL-2.0": ["License: Eclipse Public License"],
+    "CDDL-1.0": ["License: CDDL"], "Unlicense": ["License: Unlicense"], "Zlib": ["License: zlib"], "WTFPL": ["License: WTFPL"], "Artistic-2.0": ["License: Artistic 2.0"], "PSF-2.0": ["License: PSF"], "OFL-1.1": ["License: SIL OFL 1.1"], "MS-PL": ["License: MS-PL"],
+    "MS-RL": ["License: MS-RL"], "CC-BY-ND": ["Text is under CC BY-ND 4.0."], "GFDL": ["License: GNU FDL"], "ODbL-1.0": ["License: ODbL"], "PostgreSQL": ["License: PostgreSQL"], "AFL-3.0": ["License: Academic Free License"], "OSL-3.0": ["License: Open Software License"],
+    UNKNOWN: [
+        "She took an artistic view of the old town hall.", "The eclipse was seen in all of Europe on Monday.", "A boost to the economy is expected by the bank.", "He learned Python and SQL at the academic centre.", "The new font is open to readers of the paper.",
+        "Microsoft reported sales for the quarter.", "The Apache helicopter landed by the river.", "They lost the licence to fish in the lake.", "The database is open on weekdays.", "Students at MIT built a small robot.", "The public library will be closed.", "The union asked for a fee from the members.",
+    ],
 }
 # Sentences that name no licence of a text.
 ORDINARY = [
@@ -64,6 +102,10 @@ ORDINARY = [
     "Er kam mit dem Rad und ging mit ihr in die Stadt.",
     "The commons of the village are open to all by right.", "Her creative work is granted hereby in compliance with the code except source.",
 ]
+# Frequent English words, which are no anchors whatever templates hold them.
+COMMON = """a about all also altered an and any are as as-is at available be been but by can copy could did do does each express first for from had has have he her him his how i if implied in information into is it its
+made made may me more most must my new no not of on one only open or other our out plainly please purpose refer see she should so some source such than that the their them then there these they this to up use used
+versions want want was we were what when which who will with without would you your""".split()
 # Fixed value: the form of a word.
 _WORDS = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 
@@ -79,15 +121,17 @@ def _grams(words: Column) -> Column:
 
 
 def _examples(spark: SparkSession) -> DataFrame:
-    """family, line, part (0 to fit, 1 to calibrate): the templates plain, in upper case, after a lead, and as a first half."""
+    """family, line, part (0 to fit, 1 to calibrate). To fit: the templates plain, in upper case, after a lead, with words around them, as a
+    comment, and as a first half. To calibrate: other notices and sentences."""
     rows = [(f, t) for f, ts in TEMPLATES.items() for t in ts] + [(UNKNOWN, t) for t in ORDINARY]
     base = spark.createDataFrame(rows, "family string, line string")
     words = F.split("line", " ")
     half = F.concat_ws(" ", F.slice(words, 1, F.greatest(F.lit(4), F.ceil(F.size(words) * 0.6).cast("int"))))
-    forms = [(F.col("line"), 0), (F.upper("line"), 0), (F.concat(F.lit("Copyright (c) 2019 the authors. "), F.col("line")), 0), (half, 0), (F.concat(F.lit("Note: "), F.col("line"), F.lit(" See the file for details.")), 1), (F.concat(F.lit("# "), F.lower("line")), 1)]
+    forms = [(F.col("line"), 0), (F.upper("line"), 0), (F.concat(F.lit("Copyright (c) 2019 the authors. "), F.col("line")), 0), (half, 0), (F.concat(F.lit("Note: "), F.col("line"), F.lit(" See the file for details.")), 0), (F.concat(F.lit("# "), F.lower("line")), 0)]
     all_ = reduce(DataFrame.unionAll, [base.select("family", line.alias("line"), F.lit(part).alias("part")) for line, part in forms])
     # The lead of a copyright line alone decides nothing for ordinary sentences.
-    return all_.where(~((F.col("family") == UNKNOWN) & F.col("line").startswith("Copyright")))
+    fit = all_.where(~((F.col("family") == UNKNOWN) & F.col("line").startswith("Copyright")))
+    return fit.unionAll(spark.createDataFrame([(f, t, 1) for f, ts in CALIBRATION.items() for t in ts], "family string, line string, part int"))
 
 
 class LicenceModel:
@@ -95,15 +139,17 @@ class LicenceModel:
 
     def __init__(self, spark: SparkSession) -> None:
         examples = _examples(spark).withColumn("words", _words(F.col("line")))
-        ordinary = {r["w"] for r in examples.where(F.col("family") == UNKNOWN).select(F.explode("words").alias("w")).distinct().collect()}
-        licence = {r["w"] for r in examples.where(F.col("family") != UNKNOWN).select(F.explode("words").alias("w")).distinct().collect()}
-        self.anchors = sorted(w for w in licence - ordinary if len(w) > 1 and not w.replace(".", "").isdigit() and w not in ("see", "note", "details", "authors", "www"))
+        of = lambda kind: {r["w"] for r in examples.where(F.col("part") == 0).where(kind).select(F.explode("words").alias("w")).distinct().collect()}
+        ordinary, licence = of(F.col("family") == UNKNOWN), of(F.col("family") != UNKNOWN)
+        self.anchors = sorted(w for w in licence - ordinary if len(w) > 1 and not w.replace(".", "").isdigit() and w not in COMMON and w not in ("see", "note", "details", "authors", "www"))
         told = [(_plain_words(t), f) for f, ts in [*TEMPLATES.items(), (UNKNOWN, ORDINARY)] for t in ts]
         pairs = lambda unknown: {f"{a} {b}" for ws, f in told if (f == UNKNOWN) == unknown for a, b in zip(ws, ws[1:]) if min(len(a), len(b)) > 3}
         self.phrases = sorted(p for p in pairs(False) - pairs(True) if not set(p.split()) & set(self.anchors))
+        # Versions tell families apart, but no line is looked at for them alone.
+        self.versions = sorted({f"{a} {b}" for ws, f in told if f != UNKNOWN for a, b in zip(ws, ws[1:]) if a == "version" and b[0].isdigit()})
         self.longest = math.ceil(max(len(ws) for ws, f in told if f != UNKNOWN) * WIDER) + LEAD
         marked = examples.withColumn("grams", self._anchored(F.col("words")))
-        vectors = CountVectorizer(inputCol="grams", outputCol="x", binary=True).fit(marked)
+        vectors = CountVectorizer(inputCol="grams", outputCol="x", binary=True).fit(marked.where("part = 0"))
         self.families = [*sorted(TEMPLATES), UNKNOWN]
         y = reduce(lambda acc, k: acc.when(F.col("family") == self.families[k], F.lit(float(k))), range(1, len(self.families)), F.when(F.col("family") == self.families[0], F.lit(0.0)))
         data = vectors.transform(marked.withColumn("y", y)).coalesce(1).cache()
@@ -115,7 +161,7 @@ class LicenceModel:
 
     def _anchored(self, words: Column) -> Column:
         anchors = F.array(*[F.lit(a) for a in self.anchors])
-        return F.array_distinct(F.filter(_grams(words), lambda g: F.arrays_overlap(F.split(g, " "), anchors) | g.isin(self.phrases)))
+        return F.array_distinct(F.filter(_grams(words), lambda g: F.arrays_overlap(F.split(g, " "), anchors) | g.isin(self.phrases + self.versions)))
 
     def logits(self, grams: list[str]) -> list[float]:
         return [b + sum(self.weights[g][k] for g in grams if g in self.weights) for k, b in enumerate(self.bias)]

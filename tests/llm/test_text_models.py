@@ -236,3 +236,14 @@ def test_reading_compares_the_manifest(spark, docs_of, tmp_path):
     os.remove(sorted(glob.glob(f"{path}/recipes/part-*.parquet"))[-1])
     with pytest.raises(ValueError, match="manifest"):
         token_store.read_digests(spark, path).count()
+
+
+def test_licence_families(spark, docs_of):
+    told = [(f, t) for f, ts in license_scan.TEMPLATES.items() for t in ts]
+    other = [(f, t) for f, ts in license_scan.CALIBRATION.items() for t in ts]
+    got = {r["doc_id"]: r["families"] for r in license_scan.licence_scan(docs_of(list(enumerate(t for _, t in told + other)))).collect()}
+    assert len(license_scan.TEMPLATES) > 30
+    assert [got[i] for i in range(len(told))] == [f for f, _ in told]
+    # Texts that the regression did not see are confirmed as what they are, or not at all.
+    assert all(got[len(told) + i] in (None, f) for i, (f, _) in enumerate(other))
+    assert not {t for _, t in told} & {t for _, t in other}
