@@ -15,7 +15,7 @@ import numpy as np
 
 #: Inputs of a window, and how far the next window moves on. Width of the vectors, and classes of ids.
 WINDOW, STRIDE = 32, 16
-WIDTH, CLASSES = 16, 48
+WIDTH, CLASSES = 16, 24
 _F = np.float32
 _MOST, _FAR = _F(30), _F(60)
 
@@ -168,67 +168,129 @@ def _softmax(logits: np.ndarray, bias: np.ndarray) -> np.ndarray:
     return logits
 
 
-def gradients(p: Params, classes: Classes, x: np.ndarray, y: np.ndarray, first: np.ndarray, inside: np.ndarray) -> tuple[float, Params, tuple[np.ndarray, np.ndarray]]:
+class _Read:
+    """Vectors of some blocks' targets under parameters, and the gradients from what the vectors are told. See gradients for the arguments.
+    A block that follows the one before it shares its inputs, so that each input is read and told its gradient once."""
+
+    def __init__(self, p: Params, matrices: np.ndarray, x: np.ndarray, first: np.ndarray, inside: np.ndarray) -> None:
+        # Units of STRIDE inputs in a row: one that no block sees, the blocks' own, and before a block whose context is not there its context.
+        follows = np.zeros(len(x), bool)
+        follows[1:] = (x[1:, :STRIDE] == x[:-1, STRIDE:]).all(1)
+        lead = np.flatnonzero(~first & ~follows)
+        own = np.arange(len(x)) + np.searchsorted(lead, np.arange(len(x)), "right")
+        self.m, self.d, self.matrices = len(x) + len(lead), matrices.shape[0], matrices
+        unit, alone = np.empty((self.m + 1, STRIDE), np.int64), np.ones(self.m, bool)
+        unit[0], unit[own + 1], unit[own[lead]] = x[0, STRIDE:], x[:, STRIDE:], x[lead, :STRIDE]
+        alone[own] = first
+        self.unit, self.at = unit.reshape(-1), (own[:, None] * STRIDE + np.arange(STRIDE))[inside]
+
+        m, d, dtype = self.m, self.d, matrices.dtype
+        self.e = p["e"].take(self.unit, 0)
+        told = self.e @ matrices
+        self.q, skip = (told[STRIDE:, c : c + d].reshape(m, STRIDE, d) for c in (0, 3 * d))
+        row = told.strides[0]
+        self.k, self.v = (np.lib.stride_tricks.as_strided(told[:, c:], (m, WINDOW, d), (STRIDE * row, row, told.itemsize)) for c in (d, 2 * d))
+        a = self.q @ self.k.transpose(0, 2, 1)
+        self.low = a < _MOST if a.max() >= _MOST else None
+        if self.low is not None:
+            np.minimum(a, _MOST, out=a)
+        np.exp(a, out=a)
+        a *= np.exp(p["r"][_BACK]) * _SEEN
+        a[alone, :, :STRIDE] = 0
+        a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, dtype)).reshape(m, STRIDE, 1)
+        self.a, self.mixed = a, a @ self.v
+        self.z = (self.mixed + skip).reshape(-1, d).take(self.at, 0)
+
+    def back(self, dz: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Gradients of the four matrices side by side, of r, and of the vector of each input in unit."""
+        m, d, dtype = self.m, self.d, dz.dtype
+        dout = np.zeros((m * STRIDE, d), dtype)
+        dout[self.at] = dz
+        dout = dout.reshape(m, STRIDE, d)
+        draw = dout @ self.v.transpose(0, 2, 1)
+        draw -= np.einsum("bij,bij->bi", dout, self.mixed)[..., None]
+        draw *= self.a
+        r = np.bincount(_BACK.reshape(-1), weights=np.ones(m, dtype) @ draw.reshape(m, -1), minlength=WINDOW)
+        if self.low is not None:
+            draw *= self.low
+        # What a unit's inputs are told as keys and values comes from its own block and from the next one.
+        told = np.zeros((m + 1, STRIDE, 4, d), dtype)
+        told[1:, :, 0], told[1:, :, 3] = draw @ self.k, dout
+        for c, part in ((1, draw.transpose(0, 2, 1) @ self.q), (2, self.a.transpose(0, 2, 1) @ dout)):
+            told[:-1, :, c] = part[:, :STRIDE]
+            told[1:, :, c] += part[:, STRIDE:]
+        told = told.reshape(-1, 4 * d)
+        return self.e.T @ told, r, told @ self.matrices.T
+
+
+def gradients(p: Params, classes: Classes, x: np.ndarray, y: np.ndarray, first: np.ndarray, inside: np.ndarray, at_once: int = 128) -> tuple[float, Params, tuple[np.ndarray, np.ndarray]]:
     """Mean loss over the targets, its gradients, and which rows of e and o they touch (the gradients of e and o hold those rows alone).
-    x: inputs (blocks, WINDOW); y, inside: targets (blocks, STRIDE) and which of them count; first: blocks whose first half is no context."""
-    d, n = p["q"].shape[0], int(inside.sum())
-    rows_e, back = np.unique(x, return_inverse=True)
-    e = p["e"][rows_e]
-    q_, k_, v_, s_ = ((e @ p[m]).take(back.reshape(x.shape), 0) for m in "qkvs")
-    scale = p["q"].dtype.type(1 / np.sqrt(d))
-    q, s = q_[:, STRIDE:] * scale, s_[:, STRIDE:]
-    raw = q @ k_.transpose(0, 2, 1)
-    a = np.exp(np.minimum(raw, _MOST)) * (np.exp(p["r"][_BACK]) * _SEEN)
-    a[first, :, :STRIDE] = 0
-    a /= a.sum(-1, keepdims=True)
-    z = (a @ v_ + s)[inside]
-    t, own = y[inside], classes.of[y[inside]]
-
-    logits = _softmax(z @ p["c"], p["cb"])
-    at = np.arange(n)
-    loss = -np.log(logits[at, own] + 1e-30).sum()
-    logits[at, own] -= 1
-    g: Params = {"c": z.T @ logits, "cb": np.ones(n, logits.dtype) @ logits}
-    dz = logits @ p["c"].T
+    x: inputs (blocks, WINDOW); y, inside: targets (blocks, STRIDE) and which of them count; first: blocks whose first half is no context.
+    Windows are read at_once blocks at a time, which stay near the processor."""
+    d, dtype = p["q"].shape[0], p["q"].dtype
+    scale = dtype.type(1 / np.sqrt(d))
+    matrices = np.concatenate([p["q"] * scale, p["k"], p["v"], p["s"]], 1)
+    reads = [_Read(p, matrices, *(t[b : b + at_once] for t in (x, first, inside))) for b in range(0, len(x), at_once)]
+    t = y[inside]
+    n, own = len(t), classes.of.take(t)
     order = np.argsort(own, kind="stable")
-    cuts = np.searchsorted(own[order], np.arange(classes.n + 1))
+    z = np.concatenate([read.z for read in reads]).take(order, 0)
+    own, place = own.take(order), classes.place.take(t).take(order)
+
+    dz, back_c = np.empty_like(z), np.ascontiguousarray(p["c"].T)
+    g: Params = {"c": np.zeros_like(p["c"]), "cb": np.zeros_like(p["cb"])}
+    loss = 0.0
+    for b in range(0, n, 2048):
+        part = slice(b, b + 2048)
+        logits = _softmax(z[part] @ p["c"], p["cb"])
+        here = np.arange(len(logits))
+        loss -= np.log(logits[here, own[part]] + 1e-30).sum()
+        logits[here, own[part]] -= 1
+        g["c"] += z[part].T @ logits
+        g["cb"] += np.ones(len(logits), dtype) @ logits
+        dz[part] = logits @ back_c
+    cuts = np.searchsorted(own, np.arange(classes.n + 1)).tolist()
     rows_o, g_o, g_ob = [], [], []
     for j in range(classes.n):
         low, high = classes.begin[j], classes.begin[j + 1]
-        rows = order[cuts[j] : cuts[j + 1]]
-        if not len(rows) or high - low < 2:
+        if cuts[j] == cuts[j + 1] or high - low < 2:
             continue
         w = p["o"][low:high]
-        z_own = z[rows]
-        logits = _softmax(z_own @ w.T, p["ob"][low:high])
-        here, place = np.arange(len(rows)), classes.place[t[rows]]
-        loss -= np.log(logits[here, place] + 1e-30).sum()
-        logits[here, place] -= 1
+        sums, bias = np.zeros_like(w), np.zeros(len(w), dtype)
+        some = max(64, 200_000 // len(w))
+        for b in range(cuts[j], cuts[j + 1], some):
+            part = slice(b, min(b + some, cuts[j + 1]))
+            logits = _softmax(z[part] @ w.T, p["ob"][low:high])
+            here = np.arange(len(logits))
+            loss -= np.log(logits[here, place[part]] + 1e-30).sum()
+            logits[here, place[part]] -= 1
+            sums += logits.T @ z[part]
+            bias += np.ones(len(logits), dtype) @ logits
+            dz[part] += logits @ w
         rows_o.append(np.arange(low, high))
-        g_o.append(logits.T @ z_own)
-        g_ob.append(np.ones(len(rows), logits.dtype) @ logits)
-        dz[rows] += logits @ w
-    dtype = p["q"].dtype
+        g_o.append(sums)
+        g_ob.append(bias)
     g["o"] = np.concatenate([np.zeros((0, d), dtype), *g_o]) / n
     g["ob"] = np.concatenate([np.zeros(0, dtype), *g_ob]) / n
     g["c"], g["cb"] = g["c"] / n, g["cb"] / n
 
-    dout = np.zeros((*y.shape, d), dtype)
-    dout[inside] = dz / n
-    dv = a.transpose(0, 2, 1) @ dout
-    da = dout @ v_.transpose(0, 2, 1)
-    draw = a * (da - np.einsum("bij,bij->bi", da, a)[..., None])
-    g["r"] = np.bincount(_BACK.reshape(-1), weights=(draw * _SEEN).sum(0).reshape(-1), minlength=WINDOW).astype(dtype)
-    draw = draw * (raw < _MOST)
-    dq, dk = draw @ k_ * scale, draw.transpose(0, 2, 1) @ q
-    # Sums by id, then through the matrices: as many rows as there are distinct ids.
-    by = np.argsort(back.reshape(-1), kind="stable")
-    edge = np.searchsorted(back.reshape(-1)[by], np.arange(len(rows_e)))
-    told = np.zeros((*x.shape, 4, d), dtype)
-    told[:, STRIDE:, 0], told[:, :, 1], told[:, :, 2], told[:, STRIDE:, 3] = dq, dk, dv, dout
-    sums = np.add.reduceat(told.reshape(-1, 4 * d).take(by, 0), edge, 0).reshape(-1, 4, d).transpose(1, 0, 2)
-    g |= {name: e.T @ m for name, m in zip("qkvs", sums)}
-    g["e"] = sum(m @ p[name].T for name, m in zip("qkvs", sums))
+    told = np.empty_like(dz)
+    told[order] = dz / n
+    cuts = np.cumsum([len(read.z) for read in reads])[:-1]
+    by_matrix, by_r, by_input = zip(*(read.back(part) for read, part in zip(reads, np.split(told, cuts))))
+    by_matrix = sum(by_matrix)
+    by_matrix[:, :d] *= scale
+    g |= {name: np.ascontiguousarray(by_matrix[:, c * d : (c + 1) * d]) for c, name in enumerate("qkvs")}
+    g["r"] = sum(by_r).astype(dtype)
+    # Sums by id.
+    unit = np.concatenate([read.unit for read in reads])
+    found = np.zeros(len(p["e"]), bool)
+    found[unit] = True
+    rows_e = np.flatnonzero(found)
+    number = np.empty(len(found), np.int64)
+    number[rows_e] = np.arange(len(rows_e))
+    cells = (number.take(unit) * d)[:, None] + np.arange(d)
+    g["e"] = np.bincount(cells.reshape(-1), weights=np.concatenate(by_input).reshape(-1), minlength=len(rows_e) * d).reshape(-1, d).astype(dtype)
     return float(loss) / n, g, (rows_e, np.concatenate([np.zeros(0, np.int64), *rows_o]))
 
 
@@ -263,14 +325,15 @@ class Trainer:
             self.p[name][rows] -= self.rate * v / np.sqrt(seen)
 
 
-def windows_of(flat: np.ndarray, n: np.ndarray, end: int, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """x, y, first, inside (see gradients) of the chosen blocks (numbers among blocks(n)) of streams in a row."""
-    own, at, size = blocks(n)
-    begin = (np.cumsum(n) - n)[own[chosen]]
+def windows_of(flat: np.ndarray, n: np.ndarray, end: int, chosen: np.ndarray, every: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """x, y, first, inside (see gradients) of the chosen blocks (numbers among blocks(n), which is `every` if known) of streams in a row."""
+    own, at, size = (t[chosen] for t in every or blocks(n))
+    low = (np.cumsum(n) - n)[own]
+    begin = low + at
     span = np.arange(STRIDE)
-    where = (begin + at[chosen])[:, None] + span
-    inside = span < size[chosen, None]
+    where = begin[:, None] + span
+    inside = span < size[:, None]
     y = flat[np.minimum(where, len(flat) - 1)]
-    back = (begin + at[chosen])[:, None] + np.arange(-STRIDE, STRIDE) - 1
-    x = np.where(back < begin[:, None], end, flat[back.clip(0, len(flat) - 1)])
-    return x, y, at[chosen] == 0, inside
+    back = begin[:, None] + np.arange(-STRIDE, STRIDE) - 1
+    x = np.where(back < low[:, None], end, flat[back.clip(0, len(flat) - 1)])
+    return x, y, at == 0, inside

@@ -4,10 +4,9 @@ Base: smoothed word unigrams. Model: a causal self-attention model (see attentio
 
 The base score joins counts of all words: those of the most frequent words (HEAD at most) travel to the tasks, a text's other words meet their counts
 by a join on the word, so the size of the head changes the cost and no score. The attention model starts from the counts of all ids over all
-training texts. It is trained in ROUNDS rounds; a round reads one in PARTS of the training texts, drawn by a hash of the id, each text whole,
-so what it learns from grows with the corpus. The texts of a round are dealt evenly to tasks of about SHARE bytes. Each trains from the round's
-parameters over its own texts, and the parameters of all tasks, weighed by the targets they saw, give the next round's. Parameters are a few
-megabytes whatever the input.
+training texts. It is trained on all training texts, each whole, in ROUNDS rounds: a round reads one in PARTS of them, dealt by a hash of the
+id. The texts of a round are dealt evenly to tasks of about SHARE targets. Each trains from the round's parameters over its own texts, and
+the parameters of all tasks, weighed by the targets they saw, give the next round's. Parameters are a few megabytes whatever the input.
 """
 
 from __future__ import annotations
@@ -28,12 +27,12 @@ from dossierlake.llm import attention
 from dossierlake.llm.common import fresh_path, held_out, id_and_text, one_thread, remove_path, written
 from dossierlake.llm.token_store import BYTE_LEVEL_SPLIT
 
-#: Frequent words whose counts travel to the tasks; rounds of training and parts of the training texts; Adagrad's rate.
-HEAD, ROUNDS, PARTS, RATE = 200_000, 4, 20, 0.1
+#: Frequent words whose counts travel to the tasks; rounds of training and parts of the training texts (a part a round); Adagrad's rate.
+HEAD, ROUNDS, PARTS, RATE = 200_000, 4, 4, 0.1
 #: Bytes of words that a task remembers; letters of a word that are encoded together; bytes of texts that are scored together.
 HELD, PIECE, TOGETHER = 64 << 20, 200, 1 << 20
-#: Bytes of texts that a task of a round trains on.
-SHARE = 6 << 20
+#: Targets that a task of a round trains on, and blocks of them an update.
+SHARE, UPDATE = 5_000_000, 512
 #: Numbers in a row of parameters.
 _ROW = 1 << 16
 
@@ -205,15 +204,15 @@ def _training(ranks, shared, end: int, rate: float):
             texts = [t.as_py() for t in b.column(0)]
             for low, high in _groups(texts):
                 if trainer is None:
-                    trainer = attention.Trainer(p, attention.Classes(counts), rate)
+                    trainer = attention.Trainer(p, attention.Classes(counts), rate, UPDATE)
                 if words.held > HELD:
                     words = Words(words.bpe)
                 split = [words_of(t) for t in texts[low:high]]
                 n_words = np.fromiter(map(len, split), np.int64, len(split))
                 flat, n = words.streams(words.numbers([w for s in split for w in s]), n_words, end)
-                every = len(attention.blocks(n)[0])
-                for at in range(0, every, 256):
-                    trainer.add(*attention.windows_of(flat, n, end, np.arange(at, min(at + 256, every))))
+                every = attention.blocks(n)
+                for at in range(0, len(every[0]), UPDATE):
+                    trainer.add(*attention.windows_of(flat, n, end, np.arange(at, min(at + UPDATE, len(every[0]))), every))
         if trainer is not None:
             trainer.step()
             last = _flat(trainer.p)
@@ -236,18 +235,20 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def trained(spark: SparkSession, train: DataFrame, counts: np.ndarray, ranks, rounds: int = ROUNDS, parts: int = PARTS, rate: float = RATE, share: int = SHARE) -> tuple[attention.Params, attention.Classes]:
-    """The model of the texts (doc_id, text). counts: of each id over all of them, the end id last. A round without texts changes nothing."""
+    """The model of the texts (doc_id, text). counts: of each id over all of them, the end id last. Every text is learned from: parts are at
+    most as many as rounds, and rounds beyond the parts read them again."""
     classes = attention.Classes(counts)
-    p, end = attention.start(counts, classes), len(counts) - 1
+    p, end, parts = attention.start(counts, classes), len(counts) - 1, min(parts, rounds)
+    if not rounds:
+        return p, classes
     path = fresh_path(spark, "lm-training")
-    drawn = train.select(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(parts)).alias("turn"), F.col("text").cast("binary").alias("text")).where(F.col("turn") < rounds)
+    drawn = train.select(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(parts)).alias("turn"), F.col("text").cast("binary").alias("text"))
     drawn.write.option("compression", "zstd").partitionBy("turn").parquet(path)
     drawn = spark.read.schema("text binary, turn long").parquet(path)
-    sizes = dict(drawn.groupBy("turn").agg(F.sum(F.octet_length("text"))).collect())  # a row a round
     for turn in range(rounds):
-        # A task trains on SHARE bytes of text, so that the parameters which tasks hand on stay in proportion to the texts, however these
+        # A task trains on about SHARE targets, so that the parameters which tasks hand on stay in proportion to the texts, however these
         # lie in partitions.
-        texts = drawn.where(F.col("turn") == turn).select("text").repartition(max(1, -(-(sizes.get(turn) or 0) // share)))
+        texts = drawn.where(F.col("turn") == turn % parts).select("text").repartition(max(1, math.ceil(counts.sum() / parts / share)))
         shared = spark.sparkContext.broadcast((p, counts))
         # Means of means: of a block's rows a task reads those of one task in 16, then the 16 means.
         rows = texts.mapInArrow(_training(ranks, shared, end, rate), _PARAMS).select("*", (F.spark_partition_id() % 16).alias("salt"))

@@ -146,3 +146,16 @@ def test_scores_do_not_depend_on_the_head(spark, docs_of, prose, ranks):
     texts = [*ODD, *[(30 + i, prose(60, i) + f" rarity{i}word unseen-{i * i}-thing") for i in range(60)]]
     few, all_ = (sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 3)) for r in lm_score.lm_score(docs_of(texts), ranks, head=h, rounds=0).collect()) for h in (5, 10_000))
     assert few == all_
+
+
+def test_every_training_text_is_learned_from(spark, docs_of, ranks):
+    bpe = lm_score.byte_bpe(ranks)
+    own = [i for i in range(1000, 3000) if (w := bpe.decode([i])).startswith(" ") and w[1:].isascii() and w[1:].isalpha() and w.islower()][:80]
+    texts = [(k, bpe.decode([i]) * 3000) for k, i in enumerate(own)]  # an id of its own each
+    counts = np.zeros(bpe.n_vocab + 1)
+    counts[own], counts[-1] = 3000, len(own)
+    start = attention.start(counts, attention.Classes(counts))
+    for how in ({}, {"parts": 50}):  # more parts than rounds would leave texts out
+        p = lm_score.trained(spark, docs_of(texts), counts, spark.sparkContext.broadcast(ranks), **how)[0]
+        # The first update, of three such texts, moves the output vectors alone, as these start from 0.
+        assert (p["e"][own] != start["e"][own]).any(1).sum() >= len(own) - 3
