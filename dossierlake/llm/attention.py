@@ -15,7 +15,7 @@ import numpy as np
 
 #: Inputs of a window, and how far the next window moves on. Width of the vectors, and classes of ids.
 WINDOW, STRIDE = 32, 16
-WIDTH, CLASSES = 16, 24
+WIDTH, CLASSES = 16, 48
 _F = np.float32
 _MOST, _FAR = _F(30), _F(60)
 
@@ -159,12 +159,17 @@ def _share(logits: np.ndarray, bias: np.ndarray, which: np.ndarray) -> np.ndarra
     return e[np.arange(len(e)), which] / (e @ np.ones(e.shape[1], _F))
 
 
-def _softmax(logits: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Softmax of each row, exactly but for logits beyond the bounds that the scorer holds them to as well; overwrites logits."""
-    logits += bias
-    np.clip(logits, -_FAR, _FAR, out=logits)
+def _off(logits: np.ndarray, many: np.ndarray, which: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """How far the softmax of each row is off one entry of each, and that entry's share; overwrites logits. The softmax is exact but for
+    logits beyond the bounds that the scorer holds them to as well. many: 0, 1, 2 and so on."""
+    np.minimum(logits, _FAR, out=logits)
+    np.maximum(logits, -_FAR, out=logits)
     np.exp(logits, out=logits)
-    logits /= (logits @ np.ones(logits.shape[1], logits.dtype))[:, None]
+    logits *= (1 / (logits @ np.ones(logits.shape[1], logits.dtype)))[:, None]
+    at = many[: len(logits)] * logits.shape[1] + which
+    flat = logits.reshape(-1)
+    share[:] = flat.take(at)
+    flat[at] -= 1
     return logits
 
 
@@ -172,7 +177,7 @@ class _Read:
     """Vectors of some blocks' targets under parameters, and the gradients from what the vectors are told. See gradients for the arguments.
     A block that follows the one before it shares its inputs, so that each input is read and told its gradient once."""
 
-    def __init__(self, p: Params, matrices: np.ndarray, x: np.ndarray, first: np.ndarray, inside: np.ndarray) -> None:
+    def __init__(self, e: np.ndarray, matrices: np.ndarray, near: np.ndarray, x: np.ndarray, first: np.ndarray, inside: np.ndarray) -> None:
         # Units of STRIDE inputs in a row: one that no block sees, the blocks' own, and before a block whose context is not there its context.
         follows = np.zeros(len(x), bool)
         follows[1:] = (x[1:, :STRIDE] == x[:-1, STRIDE:]).all(1)
@@ -185,7 +190,7 @@ class _Read:
         self.unit, self.at = unit.reshape(-1), (own[:, None] * STRIDE + np.arange(STRIDE))[inside]
 
         m, d, dtype = self.m, self.d, matrices.dtype
-        self.e = p["e"].take(self.unit, 0)
+        self.e = e.take(self.unit, 0)
         told = self.e @ matrices
         self.q, skip = (told[STRIDE:, c : c + d].reshape(m, STRIDE, d) for c in (0, 3 * d))
         row = told.strides[0]
@@ -195,18 +200,22 @@ class _Read:
         if self.low is not None:
             np.minimum(a, _MOST, out=a)
         np.exp(a, out=a)
-        a *= np.exp(p["r"][_BACK]) * _SEEN
+        a *= near
         a[alone, :, :STRIDE] = 0
         a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, dtype)).reshape(m, STRIDE, 1)
         self.a, self.mixed = a, a @ self.v
-        self.z = (self.mixed + skip).reshape(-1, d).take(self.at, 0)
+        skip += self.mixed
+        self.z = skip.reshape(-1, d) if len(self.at) == m * STRIDE else skip.reshape(-1, d).take(self.at, 0)
 
     def back(self, dz: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Gradients of the four matrices side by side, of r, and of the vector of each input in unit."""
         m, d, dtype = self.m, self.d, dz.dtype
-        dout = np.zeros((m * STRIDE, d), dtype)
-        dout[self.at] = dz
-        dout = dout.reshape(m, STRIDE, d)
+        if len(dz) == m * STRIDE:
+            dout = dz.reshape(m, STRIDE, d)
+        else:
+            dout = np.zeros((m * STRIDE, d), dtype)
+            dout[self.at] = dz
+            dout = dout.reshape(m, STRIDE, d)
         draw = dout @ self.v.transpose(0, 2, 1)
         draw -= np.einsum("bij,bij->bi", dout, self.mixed)[..., None]
         draw *= self.a
@@ -214,11 +223,12 @@ class _Read:
         if self.low is not None:
             draw *= self.low
         # What a unit's inputs are told as keys and values comes from its own block and from the next one.
-        told = np.zeros((m + 1, STRIDE, 4, d), dtype)
-        told[1:, :, 0], told[1:, :, 3] = draw @ self.k, dout
-        for c, part in ((1, draw.transpose(0, 2, 1) @ self.q), (2, self.a.transpose(0, 2, 1) @ dout)):
-            told[:-1, :, c] = part[:, :STRIDE]
-            told[1:, :, c] += part[:, STRIDE:]
+        told = np.empty((m + 1, STRIDE, 4, d), dtype)
+        told[0], told[1:, :, 3] = 0, dout
+        np.matmul(draw, self.k, out=told[1:, :, 0])
+        for c, of, by in ((1, draw, self.q), (2, self.a, dout)):
+            np.matmul(of[:, :, STRIDE:].transpose(0, 2, 1), by, out=told[1:, :, c])
+            told[:-1, :, c] += of[:, :, :STRIDE].transpose(0, 2, 1) @ by
         told = told.reshape(-1, 4 * d)
         return self.e.T @ told, r, told @ self.matrices.T
 
@@ -230,52 +240,46 @@ def gradients(p: Params, classes: Classes, x: np.ndarray, y: np.ndarray, first:
     d, dtype = p["q"].shape[0], p["q"].dtype
     scale = dtype.type(1 / np.sqrt(d))
     matrices = np.concatenate([p["q"] * scale, p["k"], p["v"], p["s"]], 1)
-    reads = [_Read(p, matrices, *(t[b : b + at_once] for t in (x, first, inside))) for b in range(0, len(x), at_once)]
+    near = np.exp(p["r"][_BACK]) * _SEEN
+    reads = [_Read(p["e"], matrices, near, *(t[b : b + at_once] for t in (x, first, inside))) for b in range(0, len(x), at_once)]
     t = y[inside]
     n, own = len(t), classes.of.take(t)
     order = np.argsort(own, kind="stable")
-    z = np.concatenate([read.z for read in reads]).take(order, 0)
+    z = np.ones((n, d + 1), dtype)  # with a 1 for the bias
+    z[:, :d] = np.concatenate([read.z for read in reads]).take(order, 0)
     own, place = own.take(order), classes.place.take(t).take(order)
 
-    dz, back_c = np.empty_like(z), np.ascontiguousarray(p["c"].T)
-    g: Params = {"c": np.zeros_like(p["c"]), "cb": np.zeros_like(p["cb"])}
-    loss = 0.0
+    dz, shares = np.empty((n, d), dtype), np.ones((2, n), dtype)
+    many = np.arange(4096)
+    c, by_c = np.concatenate([p["c"], p["cb"][None]]), np.zeros((d + 1, classes.n), dtype)
+    back = np.ascontiguousarray(p["c"].T)
     for b in range(0, n, 2048):
         part = slice(b, b + 2048)
-        logits = _softmax(z[part] @ p["c"], p["cb"])
-        here = np.arange(len(logits))
-        loss -= np.log(logits[here, own[part]] + 1e-30).sum()
-        logits[here, own[part]] -= 1
-        g["c"] += z[part].T @ logits
-        g["cb"] += np.ones(len(logits), dtype) @ logits
-        dz[part] = logits @ back_c
+        off = _off(z[part] @ c, many, own[part], shares[0, part])
+        by_c += z[part].T @ off
+        np.matmul(off, back, out=dz[part])
     cuts = np.searchsorted(own, np.arange(classes.n + 1)).tolist()
-    rows_o, g_o, g_ob = [], [], []
-    for j in range(classes.n):
-        low, high = classes.begin[j], classes.begin[j + 1]
+    rows_o, by_o = [np.zeros(0, np.int64)], [np.zeros((0, d + 1), dtype)]
+    for j, (low, high) in enumerate(zip(classes.begin.tolist(), classes.begin[1:].tolist())):
         if cuts[j] == cuts[j + 1] or high - low < 2:
             continue
-        w = p["o"][low:high]
-        sums, bias = np.zeros_like(w), np.zeros(len(w), dtype)
-        some = max(64, 200_000 // len(w))
+        w = np.empty((high - low, d + 1), dtype)
+        w[:, :d], w[:, d] = p["o"][low:high], p["ob"][low:high]
+        sums, some = 0, min(4096, max(64, 200_000 // len(w)))  # logits that stay near the processor
         for b in range(cuts[j], cuts[j + 1], some):
             part = slice(b, min(b + some, cuts[j + 1]))
-            logits = _softmax(z[part] @ w.T, p["ob"][low:high])
-            here = np.arange(len(logits))
-            loss -= np.log(logits[here, place[part]] + 1e-30).sum()
-            logits[here, place[part]] -= 1
-            sums += logits.T @ z[part]
-            bias += np.ones(len(logits), dtype) @ logits
-            dz[part] += logits @ w
+            off = _off(z[part] @ w.T, many, place[part], shares[1, part])
+            sums += off.T @ z[part]
+            dz[part] += off @ w[:, :d]
         rows_o.append(np.arange(low, high))
-        g_o.append(sums)
-        g_ob.append(bias)
-    g["o"] = np.concatenate([np.zeros((0, d), dtype), *g_o]) / n
-    g["ob"] = np.concatenate([np.zeros(0, dtype), *g_ob]) / n
-    g["c"], g["cb"] = g["c"] / n, g["cb"] / n
+        by_o.append(sums)
+    by_o, by_c = np.concatenate(by_o) / n, by_c / n
+    g: Params = {"c": by_c[:d], "cb": by_c[d], "o": by_o[:, :d], "ob": by_o[:, d]}
+    loss = -np.log(shares + 1e-30).sum()
 
     told = np.empty_like(dz)
-    told[order] = dz / n
+    dz /= n
+    told[order] = dz
     cuts = np.cumsum([len(read.z) for read in reads])[:-1]
     by_matrix, by_r, by_input = zip(*(read.back(part) for read, part in zip(reads, np.split(told, cuts))))
     by_matrix = sum(by_matrix)
@@ -291,7 +295,7 @@ def gradients(p: Params, classes: Classes, x: np.ndarray, y: np.ndarray, first:
     number[rows_e] = np.arange(len(rows_e))
     cells = (number.take(unit) * d)[:, None] + np.arange(d)
     g["e"] = np.bincount(cells.reshape(-1), weights=np.concatenate(by_input).reshape(-1), minlength=len(rows_e) * d).reshape(-1, d).astype(dtype)
-    return float(loss) / n, g, (rows_e, np.concatenate([np.zeros(0, np.int64), *rows_o]))
+    return float(loss) / n, g, (rows_e, np.concatenate(rows_o))
 
 
 class Trainer:

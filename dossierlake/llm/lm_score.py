@@ -3,7 +3,8 @@
 Base: smoothed word unigrams. Model: a causal self-attention model (see attention) over the subword ids of a text's words and one end id.
 
 The base score joins counts of all words: those of the most frequent words (HEAD at most) travel to the tasks, a text's other words meet their counts
-by a join on the word, so the size of the head changes the cost and no score. The attention model starts from the counts of all ids over all
+by a join on the word, so the size of the head changes the cost and no score. The same reading writes each text's subword ids, which training
+and scoring read; texts are encoded once. The attention model starts from the counts of all ids over all
 training texts. It is trained on all training texts, each whole, in ROUNDS rounds: a round reads one in PARTS of them, dealt by a hash of the
 id. The texts of a round are dealt evenly to tasks of about SHARE targets. Each trains from the round's parameters over its own texts, and
 the parameters of all tasks, weighed by the targets they saw, give the next round's. Parameters are a few megabytes whatever the input.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossierlake.llm import attention
-from dossierlake.llm.common import fresh_path, held_out, id_and_text, one_thread, remove_path, written
+from dossierlake.llm.common import held_out, id_and_text, one_thread, remove, written
 from dossierlake.llm.token_store import BYTE_LEVEL_SPLIT
 
 #: Frequent words whose counts travel to the tasks; rounds of training and parts of the training texts (a part a round); Adagrad's rate.
@@ -123,16 +124,39 @@ class Words(dict):
         return out, n
 
 
-def _groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Runs of texts that are scored together."""
+def _groups(sizes: list[int] | np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of texts of these sizes that are worked on together."""
     low = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
+    for k, own in enumerate(sizes):
+        size += own
         if size >= TOGETHER:
             yield low, k + 1
             low, size = k + 1, 0
-    if low < len(texts):
-        yield low, len(texts)
+    if low < len(sizes):
+        yield low, len(sizes)
+
+
+def id_type(end: int) -> np.dtype:
+    """How the ids of streams are kept."""
+    return np.dtype("<u2" if end < 1 << 16 else "<u4")
+
+
+def _packed(flat: np.ndarray, n: np.ndarray, end: int) -> pa.Array:
+    """Streams in a row to one binary value each."""
+    kind = id_type(end)
+    at = np.concatenate([[0], np.cumsum(n)]) * kind.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(flat.astype(kind))])
+
+
+def _unpacked(column: pa.Array, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Binary values to streams in a row and how many ids each has, some texts at a time."""
+    if not len(column):
+        return
+    kind, column = id_type(end), column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    for low, high in _groups(np.diff(at)):
+        flat = np.frombuffer(column.buffers()[2], kind, int(at[high] - at[low]) // kind.itemsize, int(at[low]))
+        yield flat.astype(np.int32), np.diff(at[low : high + 1]) // kind.itemsize
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,23 +217,17 @@ def _shaped(flat: np.ndarray, like: attention.Params) -> attention.Params:
     return out
 
 
-def _training(ranks, shared, end: int, rate: float):
-    """Texts to the parameters that a task ends with, in rows, with the number of targets it saw."""
+def _training(shared, end: int, rate: float):
+    """Streams to the parameters that a task ends with, in rows, with the number of targets it saw."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
         p, counts = shared.value
-        words, trainer = Words(byte_bpe(ranks.value)), None
+        trainer = None
         for b in batches:
-            texts = [t.as_py() for t in b.column(0)]
-            for low, high in _groups(texts):
+            for flat, n in _unpacked(b.column(0), end):
                 if trainer is None:
                     trainer = attention.Trainer(p, attention.Classes(counts), rate, UPDATE)
-                if words.held > HELD:
-                    words = Words(words.bpe)
-                split = [words_of(t) for t in texts[low:high]]
-                n_words = np.fromiter(map(len, split), np.int64, len(split))
-                flat, n = words.streams(words.numbers([w for s in split for w in s]), n_words, end)
                 every = attention.blocks(n)
                 for at in range(0, len(every[0]), UPDATE):
                     trainer.add(*attention.windows_of(flat, n, end, np.arange(at, min(at + UPDATE, len(every[0]))), every))
@@ -234,52 +252,48 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.float64(), pa.binary()))], ["block", "weight", "data"])
 
 
-def trained(spark: SparkSession, train: DataFrame, counts: np.ndarray, ranks, rounds: int = ROUNDS, parts: int = PARTS, rate: float = RATE, share: int = SHARE) -> tuple[attention.Params, attention.Classes]:
-    """The model of the texts (doc_id, text). counts: of each id over all of them, the end id last. Every text is learned from: parts are at
-    most as many as rounds, and rounds beyond the parts read them again."""
+def trained(spark: SparkSession, streams: DataFrame, counts: np.ndarray, rounds: int = ROUNDS, parts: int = PARTS, rate: float = RATE, share: int = SHARE) -> tuple[attention.Params, attention.Classes]:
+    """The model of streams (turn: 0 to parts - 1, ids: see id_type, an end id last). counts: of each id over all of them, the end id last.
+    A round reads the turns that are its own number modulo rounds, so each stream is learned from once, however many parts there are. A round
+    without streams changes nothing."""
     classes = attention.Classes(counts)
-    p, end, parts = attention.start(counts, classes), len(counts) - 1, min(parts, rounds)
-    if not rounds:
-        return p, classes
-    path = fresh_path(spark, "lm-training")
-    drawn = train.select(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(parts)).alias("turn"), F.col("text").cast("binary").alias("text"))
-    drawn.write.option("compression", "zstd").partitionBy("turn").parquet(path)
-    drawn = spark.read.schema("text binary, turn long").parquet(path)
+    p, end = attention.start(counts, classes), len(counts) - 1
     for turn in range(rounds):
         # A task trains on about SHARE targets, so that the parameters which tasks hand on stay in proportion to the texts, however these
         # lie in partitions.
-        texts = drawn.where(F.col("turn") == turn % parts).select("text").repartition(max(1, math.ceil(counts.sum() / parts / share)))
+        texts = streams.where(F.col("turn") % rounds == turn).select("ids").repartition(max(1, math.ceil(counts.sum() / min(parts, rounds) / share)))
         shared = spark.sparkContext.broadcast((p, counts))
         # Means of means: of a block's rows a task reads those of one task in 16, then the 16 means.
-        rows = texts.mapInArrow(_training(ranks, shared, end, rate), _PARAMS).select("*", (F.spark_partition_id() % 16).alias("salt"))
+        rows = texts.mapInArrow(_training(shared, end, rate), _PARAMS).select("*", (F.spark_partition_id() % 16).alias("salt"))
         rows = rows.repartition("block", "salt").drop("salt").mapInArrow(_averaged, _PARAMS).repartition(16, "block").mapInArrow(_averaged, _PARAMS)
         found = sorted((r["block"], bytes(r["data"])) for r in rows.collect())  # the parameters once, whatever the input
         if found:
             p = _shaped(np.frombuffer(b"".join(data for _, data in found), np.float32), p)
         shared.unpersist()
-    remove_path(spark, path)
     return p, classes
 
 
 _ROWS = T.StructType([
     T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
-    T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType()),
+    T.StructField("base_score", T.DoubleType()), T.StructField("ids", T.BinaryType()), T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType()),
 ])
-_ARROW = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
+_ARROW = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.int64()]
+#: Turns of texts that are held out, and of rows of words.
+_HELD_OUT, _WORDS = -1, -2
 
 
-def _scoring(ranks, shared):
-    """Texts to a row each, with the base score of their words in the head, and a row for each of their distinct words outside it."""
+def _reading(ranks, shared):
+    """Texts to a row each, with their ids and the base score of their words in the head, and a row for each of their distinct words outside it."""
 
     def table(columns: dict[str, object], n: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(columns[f], t) if f in columns else pa.nulls(n, t) for f, t in zip(_ROWS.fieldNames(), _ARROW)], _ROWS.fieldNames())
+        of = lambda c, t: c if isinstance(c, pa.Array) else pa.array(c, t)
+        return pa.RecordBatch.from_arrays([of(columns[f], t) if f in columns else pa.nulls(n, t) for f, t in zip(_ROWS.fieldNames(), _ARROW)], _ROWS.fieldNames())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one_thread()
-        head, head_counts, sizes, ids, p, counts, floor = shared.value
-        scorer, end, bpe = attention.Scorer(p, attention.Classes(counts)), len(counts) - 1, byte_bpe(ranks.value)
+        head, head_counts, sizes, ids, ends, end, floor = shared.value
+        bpe = byte_bpe(ranks.value)
         terms = np.log10(head_counts + 0.1) - floor
-        end_term = math.log10(counts[end] + 0.1) - floor
+        end_term = math.log10(ends + 0.1) - floor
 
         def fresh() -> Words:
             words = Words(bpe)
@@ -292,7 +306,7 @@ def _scoring(ranks, shared):
         for b in batches:
             rows, doc_ids = b.column(0).to_numpy(), b.column(1).to_pylist()
             texts = [t.as_py() for t in b.column(2)]
-            for low, high in _groups(texts):
+            for low, high in _groups(list(map(len, texts))):
                 if words.held > HELD:
                     words = fresh()
                 split = [words_of(t) for t in texts[low:high]]
@@ -301,9 +315,9 @@ def _scoring(ranks, shared):
                 own = np.repeat(np.arange(len(split)), n_words)
                 inside = numbers < len(head)
                 base = np.bincount(own[inside], weights=terms.take(numbers[inside]), minlength=len(split)) + end_term
-                known = np.bincount(own[inside], weights=head_counts.take(numbers[inside]) > 0, minlength=len(split)).astype(np.int64) + int(counts[end] > 0)
-                score = scorer.log_probabilities(*words.streams(numbers, n_words, end)) / math.log(10)
-                yield table({"row": rows[low:high], "doc_id": doc_ids[low:high], "n_tokens": n_words + 1, "n_known": known, "base_score": base, "score": score}, high - low)
+                known = np.bincount(own[inside], weights=head_counts.take(numbers[inside]) > 0, minlength=len(split)).astype(np.int64) + int(ends > 0)
+                packed = _packed(*words.streams(numbers, n_words, end), end)
+                yield table({"row": rows[low:high], "doc_id": doc_ids[low:high], "n_tokens": n_words + 1, "n_known": known, "base_score": base, "ids": packed}, high - low)
                 outside = ~inside
                 if outside.any():
                     key, n = np.unique(own[outside] << 32 | numbers[outside], return_counts=True)
@@ -313,6 +327,21 @@ def _scoring(ranks, shared):
     return run
 
 
+def _scoring(shared):
+    """Rows of texts with the score of their ids, the last column, in the ids' place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
+        p, counts = shared.value
+        scorer, end = attention.Scorer(p, attention.Classes(counts)), len(counts) - 1
+        for b in batches:
+            scores = [scorer.log_probabilities(flat, n) / math.log(10) for flat, n in _unpacked(b.column(b.num_columns - 1), end)]
+            own = pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], own], [*b.schema.names[:-1], "score"])
+
+    return run
+
+
 def _frequent(counts: DataFrame, most: int) -> DataFrame:
     """The words of the highest counts, `most` at most: those from a step of counts on that a histogram names, so that no task sorts them."""
     step = F.floor(F.log(F.col("c")) * 16)
@@ -351,20 +380,28 @@ def lm_score(docs: DataFrame, ranks: bytes, id_col: str = "doc_id", text_col: st
     for r in counts.where("c > 0").mapInArrow(_id_counts(shared_ranks, bpe.n_vocab), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row an id of the vocabulary
         by_id[r["id"]] = r["n"]
     by_id[-1] = ends
-    p, _ = trained(spark, train, by_id, shared_ranks, rounds, parts)
 
     top = _frequent(counts.where(F.octet_length("word") <= PIECE), head).toArrow().sort_by("word")
     names, own = top.column("word").to_pylist(), Words(bpe)
     own.numbers(names)
-    shared = spark.sparkContext.broadcast((names, top.column("c").to_numpy().astype(float), own.size[: own.known].copy(), own.ids[: own.used].copy(), p, by_id, floor))
+    shared = spark.sparkContext.broadcast((names, top.column("c").to_numpy().astype(float), own.size[: own.known].copy(), own.ids[: own.used].copy(), ends, bpe.n_vocab, floor))
     numbered = base.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary").alias("text"))
-    path = fresh_path(spark, "lm-rows")
-    numbered.mapInArrow(_scoring(shared_ranks, shared), _ROWS).withColumn("kind", F.when(F.col("word").isNull(), "text").otherwise("word")).write.option("compression", "zstd").partitionBy("kind").parquet(path)
-    rows = spark.read.schema(T.StructType([*_ROWS.fields, T.StructField("kind", T.StringType())])).parquet(path)
+    dealt = F.when(F.col("word").isNotNull(), _WORDS).when(held_out(F.col("doc_id"), 10, 0), _HELD_OUT).otherwise(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(parts)))
+    # Not partitioned by turn, as that would sort the ids in memory.
+    rows = written(numbered.mapInArrow(_reading(shared_ranks, shared), _ROWS).withColumn("turn", dealt.cast("long")), "lm-rows")
+    shared.unpersist()
     term = F.col("n") * (F.log10(F.col("c") + F.lit(0.1)) - F.lit(floor))
-    tails = rows.where("kind = 'word'").select("row", "word", "n").join(counts, "word")
-    tails = tails.groupBy("row").agg(F.sum(term).alias("tail"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("tail_known"))
-    each = rows.where("kind = 'text'").select("row", "doc_id", "n_tokens", "n_known", "base_score", "score").join(tails, "row", "left")
+    tails = rows.where(F.col("turn") == _WORDS).select("row", "word", "n").join(counts, "word")
+    tails = written(tails.groupBy("row").agg(F.sum(term).alias("tail"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("tail_known")), "lm-tails")
+    remove(counts)
+
+    p, _ = trained(spark, rows.where("turn >= 0"), by_id, rounds, parts)
+    shared = spark.sparkContext.broadcast((p, by_id))
+    texts = rows.where(F.col("turn") != _WORDS).select("row", "doc_id", "n_tokens", "n_known", "base_score", "ids")
+    scored = written(texts.mapInArrow(_scoring(shared), "row long, doc_id long, n_tokens long, n_known long, base_score double, score double"), "lm-scores")
+    shared.unpersist()
+    remove(rows)
+    each = scored.join(tails, "row", "left")
     return each.select(
         "doc_id", held_out(F.col("doc_id"), 10, 0).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("tail", F.lit(0.0))).alias("base_score"), "score",

@@ -148,14 +148,23 @@ def test_scores_do_not_depend_on_the_head(spark, docs_of, prose, ranks):
     assert few == all_
 
 
-def test_every_training_text_is_learned_from(spark, docs_of, ranks):
-    bpe = lm_score.byte_bpe(ranks)
-    own = [i for i in range(1000, 3000) if (w := bpe.decode([i])).startswith(" ") and w[1:].isascii() and w[1:].isalpha() and w.islower()][:80]
-    texts = [(k, bpe.decode([i]) * 3000) for k, i in enumerate(own)]  # an id of its own each
-    counts = np.zeros(bpe.n_vocab + 1)
+def test_every_training_text_is_learned_from(spark):
+    own = list(range(1000, 1080))
+    counts = np.zeros(50_001)
     counts[own], counts[-1] = 3000, len(own)
     start = attention.start(counts, attention.Classes(counts))
-    for how in ({}, {"parts": 50}):  # more parts than rounds would leave texts out
-        p = lm_score.trained(spark, docs_of(texts), counts, spark.sparkContext.broadcast(ranks), **how)[0]
+    for how in ({}, {"parts": 50}, {"parts": 2}):
+        texts = [(k % how.get("parts", lm_score.PARTS), bytearray(np.append(np.full(3000, i), 50_000).astype(lm_score.id_type(50_000)).tobytes())) for k, i in enumerate(own)]  # an id of its own each
+        p = lm_score.trained(spark, spark.createDataFrame(texts, "turn long, ids binary"), counts, **how)[0]
         # The first update, of three such texts, moves the output vectors alone, as these start from 0.
         assert (p["e"][own] != start["e"][own]).any(1).sum() >= len(own) - 3
+
+
+def test_streams_are_read_as_packed():
+    rng = np.random.default_rng(4)
+    for end in (50_000, 100_000):
+        n = rng.integers(1, 400_000, 9)
+        flat = rng.integers(0, end, n.sum())
+        read = list(lm_score._unpacked(lm_score._packed(flat, n, end)[2:], end))
+        assert len(read) > 1 and np.array_equal(np.concatenate([f for f, _ in read]), flat[n[:2].sum() :]) and np.array_equal(np.concatenate([m for _, m in read]), n[2:])
+    assert list(lm_score._unpacked(lm_score._packed(flat[:0], n[:0], end), end)) == []
