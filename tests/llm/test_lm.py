@@ -168,3 +168,18 @@ def test_streams_are_read_as_packed():
         read = list(lm_score._unpacked(lm_score._packed(flat, n, end)[2:], end))
         assert len(read) > 1 and np.array_equal(np.concatenate([f for f, _ in read]), flat[n[:2].sum() :]) and np.array_equal(np.concatenate([m for _, m in read]), n[2:])
     assert list(lm_score._unpacked(lm_score._packed(flat[:0], n[:0], end), end)) == []
+
+
+def test_training_gets_the_ids_of_every_text(spark, docs_of, prose, ranks, monkeypatch):
+    texts, seen, train = [*ODD, *[(30 + i, prose(40, i)) for i in range(80)]], {}, lm_score.trained
+
+    def trained(spark, streams, counts, rounds, parts):
+        seen.update(rows=streams.select("turn", "ids").collect(), counts=counts, parts=parts)
+        return train(spark, streams, counts, rounds, parts)
+
+    monkeypatch.setattr(lm_score, "trained", trained)
+    lm_score.lm_score(docs_of(texts), ranks)
+    assert len(seen["rows"]) == sum(zlib.crc32(("" if i is None else str(i)).encode()) % 10 != 0 for i, _ in texts)
+    assert {r["turn"] for r in seen["rows"]} == set(range(seen["parts"]))
+    ids = np.frombuffer(b"".join(bytes(r["ids"]) for r in seen["rows"]), lm_score.id_type(len(seen["counts"]) - 1))
+    assert np.array_equal(np.bincount(ids, minlength=len(seen["counts"])), seen["counts"])
